@@ -85,8 +85,11 @@ def _mask(data: np.ndarray) -> np.ndarray:
     return word
 
 
-def words(column: pa.Array) -> Words:
-    """Words of a string column, whole texts; nulls and texts without words have none."""
+def words(column: pa.Array, prefixes: tuple[int, ...] = ()) -> Words:
+    """Words of a string column, whole texts; nulls and texts without words have none.
+
+    With prefixes, hash has a row for the words and one for each number of bytes: the hash of the beginning of each word that is longer, else of the word.
+    """
     data, rows = buffers(pc.utf8_lower(column.cast(pa.large_string()) if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().cast(pa.large_string())))
     word = _mask(data)
     edge = np.zeros(len(data) + 1, bool)
@@ -95,7 +98,7 @@ def words(column: pa.Array) -> Words:
     start = np.flatnonzero(word & (~before | edge[:-1]))
     after = np.concatenate([word[1:], [False]])
     end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    out = np.empty(len(start), np.uint64)
+    out = np.empty((1 + len(prefixes), len(start)), np.uint64)
     lo = 0
     with np.errstate(over="ignore"):
         while lo < len(start):
@@ -106,11 +109,13 @@ def words(column: pa.Array) -> Words:
             total[0] = 0
             np.cumsum((data[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=total[1:])
             s, e = start[lo:hi] - a, end[lo:hi] - a
-            out[lo:hi] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+            for k, cut in enumerate((None, *prefixes)):
+                to = e if cut is None else np.minimum(s + cut, e)
+                out[k, lo:hi] = mix((total[to] - total[s]) * down[s] + (to - s).astype(np.uint64) + np.uint64(0 if cut is None else cut << 32) * (e - s > (cut or 0)))
             lo = hi
     doc = np.searchsorted(start, rows).astype(np.int64)
     base = np.repeat(rows[:-1], np.diff(doc))
-    return Words(out, doc, start - base, end - base)
+    return Words(out if prefixes else out[0], doc, start - base, end - base)
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

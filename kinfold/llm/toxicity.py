@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
-The chain goes through :data:`CATEGORIES` in order. Each model is a logistic regression over the words of a document (present
-or not) and the probabilities of all earlier categories; in training those are out-of-fold predictions, so a later model sees
+The chain goes through :data:`CATEGORIES` in order. Each model is a logistic regression over the words of a document and
+their first 4, 5 and 6 bytes (present or not) and the probabilities of all earlier categories; in training those are out-of-fold predictions, so a later model sees
 earlier ones as they are on unseen documents. The label table knows one toxicity label only, so the first category is that
 label and the later ones are weak labels: a toxic document with a word of the category's list, which is a parameter.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .text import words
+from .text import mix, words
 
 #: Categories after the label itself, with the words that mark them (lower case).
 CATEGORIES: dict[str, tuple[str, ...]] = {
@@ -28,7 +28,10 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
     "derogation": ("scum", "trash", "worthless", "pathetic", "disgusting", "vermin", "garbage", "filth", "useless", "revolting", "subhuman", "abschaum", "ordure", "escoria"),
     "threat": ("kill", "murder", "hurt", "destroy", "die", "shoot", "stab", "beat", "strangle", "tuer", "töten", "matar"),
 }
+#: Bytes of the beginnings of words that are features beside the words.
+PREFIXES = (4, 5, 6)
 _LEAST = 20
+_SURE = 30.0
 
 
 class Linear(NamedTuple):
@@ -40,7 +43,7 @@ class Linear(NamedTuple):
 
 
 class Chain(NamedTuple):
-    """vocabulary: sorted hashes of the words that are features; models: one for each name, over the words and the earlier probabilities."""
+    """vocabulary: sorted hashes of the words and beginnings of words that are features; models: one for each name, over the words and the earlier probabilities."""
 
     names: tuple[str, ...]
     vocabulary: np.ndarray
@@ -48,10 +51,10 @@ class Chain(NamedTuple):
 
     def predict(self, column: pa.Array) -> np.ndarray:
         """Probabilities: a row for each text, a column for each category."""
-        w, k = words(column), len(self.vocabulary)
-        row, place = w.row, np.searchsorted(self.vocabulary, w.hash)
+        row, feature = _features(column)
+        k, place = len(self.vocabulary), np.searchsorted(self.vocabulary, feature)
         place[place == k] = 0
-        hit = self.vocabulary[place] == w.hash if k else np.zeros(len(place), bool)
+        hit = self.vocabulary[place] == feature if k else np.zeros(len(place), bool)
         pair = np.unique(row[hit] * max(k, 1) + place[hit])
         row, place = pair // max(k, 1), pair % max(k, 1)
         out = np.empty((len(column), len(self.names)))
@@ -61,6 +64,14 @@ class Chain(NamedTuple):
         return out
 
 
+def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): the words of each text and the beginnings of longer words, which word forms share."""
+    w = words(column, PREFIXES)
+    row = w.row
+    long = np.concatenate([np.ones((1, len(row)), bool), (w.end - w.start) > np.array(PREFIXES)[:, None]])
+    return np.tile(row, 1 + len(PREFIXES))[long.ravel()], w.hash[long]
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -91,8 +102,13 @@ def _largest(x: np.ndarray) -> float:
     return 1.1 * size
 
 
-def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, categories: dict[str, tuple[str, ...]] = CATEGORIES, *, features: int = 1024, folds: int = 5, l2: float = 1e-3, steps: int = 150) -> Chain:
-    """A chain from the distinct word hashes of each labelled text and its label; folds go by place in the list."""
+def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, categories: dict[str, tuple[str, ...]] = CATEGORIES, *, features: int = 2048, folds: int = 5, l2: float = 1e-3, steps: int = 150) -> Chain:
+    """A chain from the distinct word hashes of each labelled text and its label; folds go by place in the list.
+
+    Of near copies one trains, else a group of copies with one wrong label would teach its words.
+    """
+    alone = _one_of_each(sets)
+    sets, toxic = [sets[k] for k in alone], toxic[alone]
     n = len(sets)
     names = ("toxic", *categories)
     flat, size = (np.concatenate(sets) if n else np.zeros(0, np.uint64)), np.array([len(s) for s in sets], np.int64)
@@ -103,13 +119,15 @@ def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, categories: dict[str, t
         own = words(pa.array(list(listed), pa.string())).hash
         hit = np.bincount(row, np.isin(vocabulary, own)[code], n) > 0 if n else np.zeros(0, bool)
         labels.append((hit & (toxic > 0)).astype(np.float64))
-    # features by the strength of their association with any of the labels
+    # features by the strength of their association with any of the labels (chi-square), only sure and marked ones: a few
+    # wrong labels would else be learned by heart from words that nearly don't tell
     strength = np.zeros(len(vocabulary))
     for y in labels:
         pos, a = y.sum(), np.bincount(code, y[row], len(vocabulary)) if n else np.zeros(0)
         expected = count * pos / max(n, 1)
-        strength = np.maximum(strength, (a - expected) ** 2 / np.maximum(expected * (1 - count / max(n, 1)), 1e-9))
-    strength[count < 5] = -1
+        lift = (a + 1) / (pos + 2) / ((count - a + 1) / (n - pos + 2))
+        strength = np.maximum(strength, np.where((lift >= 3) | (lift <= 1 / 3), (a - expected) ** 2 / np.maximum(expected * (1 - count / max(n, 1)), 1e-9), 0))
+    strength[(count < _LEAST // 2) | (strength < _SURE)] = -1
     best = np.sort(np.lexsort((vocabulary, -strength))[:features])
     best = best[strength[best] > 0]
     where = np.full(len(vocabulary), -1)
@@ -128,6 +146,22 @@ def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, categories: dict[str, t
     return Chain(names, vocabulary[best], tuple(models))
 
 
+def _one_of_each(sets: list[np.ndarray]) -> np.ndarray:
+    """Places of the sets that share neither of two pairs of minimum hashes with an earlier one."""
+    seen: set[tuple[int, int, int]] = set()
+    keep = []
+    for k, s in enumerate(sets):
+        if not len(s):
+            keep.append(k)
+            continue
+        low = [int(mix(s ^ np.uint64(0x51ED270B * (j + 1))).min()) for j in range(4)]
+        own = {(0, low[0], low[1]), (1, low[2], low[3])}
+        if not own & seen:
+            keep.append(k)
+        seen |= own
+    return np.array(keep, np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, *, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
     """A chain from at most ``per_class`` labelled documents of each class."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -136,8 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
     picked = common.texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
     def distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = words(batch.column("text"))
-        own = [np.unique(w.hash[a:b]).tobytes() for a, b in zip(w.doc[:-1], w.doc[1:])]
+        row, feature = _features(batch.column("text"))
+        order = np.lexsort((feature, row))
+        at = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+        own = [np.unique(feature[order[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:])]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.binary())], ["doc_id", "label", "words"])
 
     rows = sorted((r.doc_id, r.label, bytes(r.words)) for r in picked.mapInArrow(common.over_slices(distinct), "doc_id long, label int, words binary").collect())
