@@ -43,11 +43,12 @@ class Linear(NamedTuple):
 
 
 class Chain(NamedTuple):
-    """vocabulary: sorted hashes of the words and beginnings of words that are features; models: one for each name, over the words and the earlier probabilities."""
+    """threshold: of the label's probability, set on out-of-fold predictions; vocabulary: sorted hashes of the words and beginnings of words that are features; models: one for each name, over the words and the earlier probabilities."""
 
     names: tuple[str, ...]
     vocabulary: np.ndarray
     models: tuple[Linear, ...]
+    threshold: float = 0.5
 
     def predict(self, column: pa.Array) -> np.ndarray:
         """Probabilities: a row for each text, a column for each category."""
@@ -135,15 +136,27 @@ def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, categories: dict[str, t
     x = np.zeros((n, len(best)), np.float32)
     seen = where[code] >= 0
     x[row[seen], where[code[seen]]] = 1
-    fold, models = np.arange(n) % folds, []
+    fold, models, threshold = np.arange(n) % folds, [], 0.5
     for y in labels:
         models.append(_fit(x, y, l2, steps))
         held = np.zeros(n, np.float32)
         for f in range(folds):
             if (fold == f).any():
                 held[fold == f] = _fit(x[fold != f], y[fold != f], l2, steps)(x[fold == f])
+        if len(models) == 1 and 0 < y.sum() < n:
+            threshold = _best_cut(held, y)
         x = np.column_stack([x, held])
-    return Chain(names, vocabulary[best], tuple(models))
+    return Chain(names, vocabulary[best], tuple(models), threshold)
+
+
+def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the best F1, half-way between the predictions on both sides of it."""
+    order = np.argsort(-p, kind="stable")
+    q, hit = p[order], np.cumsum(y[order])
+    f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
+    f1[:-1][q[:-1] == q[1:]] = -1
+    k = int(np.argmax(f1))
+    return float((q[k] + (q[k + 1] if k + 1 < len(q) else 0)) / 2)
 
 
 def _one_of_each(sets: list[np.ndarray]) -> np.ndarray:
@@ -182,13 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
     return fit_chain([np.frombuffer(rows[k][2], np.uint64) for k in order], np.array([rows[k][1] for k in order], np.int64), categories)
 
 
-def scores(docs: DataFrame, chain: Chain, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a probability p_<category> for each category, and is_toxic: p_toxic is at least the threshold.
+def scores(docs: DataFrame, chain: Chain, *, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, a probability p_<category> for each category, and is_toxic: p_toxic is at least the threshold, by default the chain's.
 
     A row for each row of docs with an id, repeated rows too; null and empty texts get the probabilities of a text without
     words, which the models' constants give; an empty table gives no rows; other columns are not read.
     """
     names = [f"p_{c}" for c in chain.names]
+    threshold = chain.threshold if threshold is None else threshold
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = chain.predict(batch.column("text"))
@@ -198,9 +212,9 @@ def scores(docs: DataFrame, chain: Chain, *, threshold: float = 0.5, id_col: str
     return common.texts(docs, id_col, text_col).mapInArrow(common.over_slices(score), schema)
 
 
-def accepted(docs: DataFrame, chain: Chain, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, chain: Chain, *, threshold: float | None = None, text_col: str = "text") -> DataFrame:
     """docs without the rows whose text is toxic, in the columns of docs; null texts and rows without an id are judged alike."""
-    t = docs.columns.index(text_col)
+    t, threshold = docs.columns.index(text_col), chain.threshold if threshold is None else threshold
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
