@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, secrets, token_counts, toxicity, warc
+from . import decontaminate, jaccard, packing, secrets, token_counts, toxicity, warc
 from .common import table
+from .text import WORD
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +49,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@_query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.pairs(table(spark, sf_dir, "documents"))
+
+
+SQL["op5_ngram_jaccard_join"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM w),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
+FROM o JOIN s AS x ON x.doc_id = doc_a JOIN s AS y ON y.doc_id = doc_b
+WHERE c / (x.n + y.n - c) >= 0.5"""
