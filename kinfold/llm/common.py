@@ -101,3 +101,29 @@ def with_text(docs: DataFrame, changed: DataFrame, id_col: str = "doc_id", text_
         return F.col(f"`{name}`")
 
     return j.select(*[pick(c) for c in docs.columns])
+
+
+#: Rows of arrays that are sent to a partition together, see :func:`packed`.
+PACKED = "part int, n long, entries binary"
+
+
+def packed(parts: int, key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Equally long arrays as a compressed blob for each partition, chosen by key; for repartitionById(parts, "part")."""
+    to = (key % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    columns = [c[order] for c in columns]
+    cut = np.searchsorted(to[order], np.arange(parts + 1))
+    rows = [(p, b - a, pa.compress(b"".join(c[a:b].tobytes() for c in columns), "zstd", asbytes=True)) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "entries"])
+
+
+def unpacked(batch: pa.RecordBatch, kinds: tuple) -> list[np.ndarray]:
+    """The arrays of the blobs of a batch."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    for n, blob in zip(batch.column("n").to_pylist(), batch.column("entries")):
+        raw, at = pa.decompress(blob.as_py(), n * width, "zstd", asbytes=True), 0
+        for x, k in zip(out, kinds):
+            x.append(np.frombuffer(raw, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(x) for x in out]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, secrets, token_counts, toxicity, warc
+from . import decontaminate, jaccard, packing, secrets, suffix, token_counts, toxicity, warc
 from .common import table
 from .text import WORD
 
@@ -65,3 +65,17 @@ o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g AS a JOI
 SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
 FROM o JOIN s AS x ON x.doc_id = doc_a JOIN s AS y ON y.doc_id = doc_b
 WHERE c / (x.n + y.n - c) >= 0.5"""
+
+
+@_query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
+SQL["op6_suffix_array_dedup"] = f"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '{WORD}') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+s AS (SELECT doc_id, r, w, unnest(range(0, len(w) - 49)) AS s FROM w WHERE len(w) >= 50),
+p AS (SELECT doc_id, r, s, count(*) OVER (PARTITION BY array_to_string(w[s + 1 : s + 50], ' ')) AS n FROM s),
+h AS (SELECT doc_id, r, s, CASE WHEN s <= 50 + lag(s) OVER (PARTITION BY r ORDER BY s) THEN 0 ELSE 1 END AS h FROM p WHERE n > 1),
+i AS (SELECT doc_id, r, s, sum(h) OVER (PARTITION BY r ORDER BY s) AS i FROM h)
+SELECT doc_id, min(s) AS start, max(s) + 50 AS "end", max(s) + 50 - min(s) AS n_words FROM i GROUP BY doc_id, r, i"""
