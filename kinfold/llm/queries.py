@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, secrets, suffix, token_counts, toxicity, warc
+from . import decontaminate, jaccard, katz, packing, secrets, suffix, token_counts, toxicity, warc
 from .common import table
 from .text import WORD
 
@@ -79,3 +79,8 @@ p AS (SELECT doc_id, r, s, count(*) OVER (PARTITION BY array_to_string(w[s + 1 :
 h AS (SELECT doc_id, r, s, CASE WHEN s <= 50 + lag(s) OVER (PARTITION BY r ORDER BY s) THEN 0 ELSE 1 END AS h FROM p WHERE n > 1),
 i AS (SELECT doc_id, r, s, sum(h) OVER (PARTITION BY r ORDER BY s) AS i FROM h)
 SELECT doc_id, min(s) AS start, max(s) + 50 AS "end", max(s) + 50 - min(s) AS n_words FROM i GROUP BY doc_id, r, i"""
+
+
+@_query
+def op4_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
