@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, katz, packing, secrets, suffix, token_counts, toxicity, warc
+from . import caps, decontaminate, jaccard, katz, packing, secrets, suffix, token_counts, toxicity, warc
 from .common import table
 from .text import WORD
 
@@ -84,3 +84,14 @@ SELECT doc_id, min(s) AS start, max(s) + 50 AS "end", max(s) + 50 - min(s) AS n_
 @_query
 def op4_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op8_embedding_near_dedup"] = """
+SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
+FROM embeddings AS a JOIN embeddings AS b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9"""
