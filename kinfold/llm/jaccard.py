@@ -4,11 +4,12 @@ The n-grams of a text form a set; all pairs of texts are wanted whose sets have
 
 1. Frequencies of n-grams over all documents are counted in hashed buckets, a sketch of fixed size, which gives every n-gram
    its place in one global order: rare ones first, ties by hash. Any global order gives the same pairs.
-2. Of each set, the first |x| - ceil(t |x|) + 1 n-grams are its prefix. Two similar sets share a prefix n-gram, so prefixes are
-   sent to the partition of each n-gram, with the set's size and the n-gram's place, and joined there under the length filter
-   (|x| >= t |y|) and the positional filter (what is left behind a common n-gram must suffice).
-3. Candidate pairs are made distinct over the cluster, each set of a pair goes to the partition where the pair is verified, once,
-   first by the suffix filter (the parts of both sets in fixed ranges of hashes bound their overlap), then exactly.
+2. Of each set, the first |x| - ceil(t |x|) + l n-grams are its prefix. Two similar sets share at least l prefix n-grams, where
+   l, which grows with the sets (``EXTRA``), is that of the one with less. Prefixes are sent to the partition of each n-gram,
+   with the set's size and the n-gram's place, and joined there under the length filter (|x| >= t |y|) and the positional
+   filter (what is left behind a common n-gram must suffice).
+3. Common prefix n-grams of a pair are counted over the cluster; pairs with l of them are candidates. Each set of a pair goes to
+   the partition where the pair is verified, once, first by the suffix filter (the parts of both sets in fixed ranges of hashes bound their overlap), then exactly.
 
 Equal sets have equal fingerprints and are one set throughout; pairs are spread over their documents at the end.
 """
@@ -29,6 +30,12 @@ from .text import grams, mix, words
 #: Buckets of the frequency sketch, in so many rows that are summed apart.
 _BUCKETS, _ROWS = 1 << 20, 64
 _PARTS = 16
+#: Of similar sets, 1 and this share of the lesser one's n-grams must be common to both prefixes, which are as much longer.
+EXTRA = 0.05
+
+
+def _common(size: np.ndarray) -> np.ndarray:
+    return 1 + (EXTRA * size).astype(np.int64)
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +115,7 @@ def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 <
                 key = (levels[(g >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(g) >> np.uint64(8))
                 order = np.lexsort((key, row))
                 key, place = key[order], np.arange(len(g)) - np.repeat(at[:-1], size)
-                length = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+                length = size - np.ceil(t * size - 1e-9).astype(np.int64) + np.minimum(_common(size), np.ceil(t * size - 1e-9).astype(np.int64))
                 use = (place < length[row]) & np.isin(row, one)
                 held.append((key[use], fp[row[use]], size[row[use]].astype(np.uint32), place[use].astype(np.uint32)))
                 if sum(len(h[0]) for h in held) >= flush:
@@ -147,24 +154,38 @@ def _join(t: float, chunk: int = 1 << 22):
         upto = np.searchsorted(code * wide + size, code * wide + limit, side="right")
         count = np.maximum(0, upto - np.arange(len(code)) - 1)
         total = np.concatenate([[0], np.cumsum(count)])
-        found: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        size_of = np.zeros(len(sets), np.int64)
+        size_of[own] = size
+        ell = np.minimum(_common(size), np.ceil(t * size - 1e-9).astype(np.int64))
         lo = 0
+
+        def add_up() -> None:
+            pair, code = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+            found[:] = [(pair, np.bincount(code, np.concatenate([c for _, c in found])).astype(np.int64))]
+
         while lo < len(code):
             hi = max(lo + 1, int(np.searchsorted(total, total[lo] + chunk)) - 1)
             c = count[lo:hi]
             a = np.repeat(np.arange(lo, hi), c)
             b = a + 1 + np.arange(len(a)) - np.repeat(total[lo:hi] - total[lo], c)
             least = np.ceil(t / (1 + t) * (size[a] + size[b]) - 1e-9)
-            fit = 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1 >= least
+            fit = np.minimum(ell[a], ell[b]) + np.minimum(size[a] - place[a], size[b] - place[b]) - 1 >= least
             x, y = own[a[fit]], own[b[fit]]
-            found.append(np.unique(np.minimum(x, y) * len(sets) + np.maximum(x, y)))
-            if sum(map(len, found)) > 4 * chunk:
-                found = [np.unique(np.concatenate(found))]
+            found.append(np.unique(np.minimum(x, y) * len(sets) + np.maximum(x, y), return_counts=True))
+            if sum(len(p) for p, _ in found) > 4 * chunk:
+                add_up()
             lo = hi
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        if not found:
+            return
+        add_up()
+        pairs, times = found[0]
         for lo in range(0, len(pairs), 1 << 18):
             p = pairs[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(sets[p // len(sets)]), pa.array(sets[p % len(sets)])], ["a", "b"])
+            a, b = p // len(sets), p % len(sets)
+            lesser = np.minimum(size_of[a], size_of[b])
+            need = np.minimum(_common(lesser), np.ceil(t * lesser - 1e-9).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sets[a]), pa.array(sets[b]), pa.array(times[lo : lo + (1 << 18)].astype(np.int32)), pa.array(need.astype(np.int32))], ["a", "b", "times", "need"])
 
     return run
 
@@ -242,7 +263,7 @@ def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "
 
     members = common.written(source.mapInArrow(common.over_slices(fingerprint), "doc_id long, fp long").distinct(), "members")
     entries = source.mapInArrow(_prefixes(levels, n, t, parts), "part int, n long, entries binary")
-    found = entries.repartitionById(parts, F.col("part")).mapInArrow(_join(t), "a long, b long").distinct()
+    found = entries.repartitionById(parts, F.col("part")).mapInArrow(_join(t), "a long, b long, times int, need int").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
     candidates = common.written(found, "candidates")
     # a pair is verified at the least neighbour of its lesser set: sets of one group of copies meet there, once
     place = candidates.groupBy("a").agg(F.min("b").alias("x")).unionByName(candidates.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("x"))).groupBy("a").agg(F.least(F.min("x"), F.col("a")).alias("k"))
