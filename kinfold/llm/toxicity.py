@@ -80,7 +80,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> Linear:
     """Logistic regression by accelerated gradient steps; a class of fewer than 20 documents gives a constant model."""
     n, k = x.shape
-    if min(y.sum(), n - y.sum()) < min(_LEAST, n):
+    if not n or min(y.sum(), n - y.sum()) < min(_LEAST, n):
         p = (y.sum() + 0.5 * (0 < y.sum() < n)) / max(1, n)
         return Linear(np.zeros(k), float(np.log(max(p, 1e-6) / max(1 - p, 1e-6))))
     step = 4 / (np.linalg.norm(x, 2 if k < 64 else None) ** 2 / n + 1 + l2) if k < 64 else 4 / (_largest(x) / n + 1 + l2)
