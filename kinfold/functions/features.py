@@ -19,9 +19,14 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def _word_ngrams(c: Column, n: int) -> Column:
-    w = F.regexp_extract_all(text.clean_text(c), F.lit(r"(?U)\w+"), 0)
-    at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    own = F.regexp_extract_all(text.clean_text(c), F.lit(r"(?U)\w+"), 0)
+    none = F.array().cast("array<string>")
+
+    def grams(w: Column) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(none)
+
+    # the words are bound as a variable of an outer transform, else the inner one would make them again for each n-gram
+    return F.array_distinct(F.element_at(F.transform(F.array(own), grams), 1))
 
 
 def completeness(l: str, r: str) -> dict[str, Column]:
