@@ -468,9 +468,9 @@ def latest_run(spark, d):
     return training.latest_run(_reviews(spark, d)).select("run_id")
 
 
-@query("""WITH r AS (SELECT user_id AS pair_id, event_type IN ('purchase', 'click') AS decision, ts AS at, event_id FROM events),
-c AS (SELECT *, lag(decision) OVER w AS b, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY pair_id ORDER BY at, event_id)), k AS (SELECT * FROM c WHERE n = 1 OR b IS DISTINCT FROM decision)
-SELECT pair_id, event_id, decision, lead(at) OVER (PARTITION BY pair_id ORDER BY at, event_id) IS NULL AS is_active FROM k""")
+@query("""WITH r AS (SELECT user_id AS pair_id, event_type IN ('purchase', 'click') AS decision, ts AS t, event_id FROM events),
+c AS (SELECT *, lag(decision) OVER w AS b, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY pair_id ORDER BY t, event_id)), k AS (SELECT * FROM c WHERE n = 1 OR b IS DISTINCT FROM decision)
+SELECT pair_id, event_id, decision, lead(t) OVER (PARTITION BY pair_id ORDER BY t, event_id) IS NULL AS is_active FROM k""")
 def review_ledger(spark, d):
     return training.review_ledger(_reviews(spark, d).select("pair_id", "decision", "at", "event_id"), "pair_id", "decision", "at", "event_id").select("pair_id", "event_id", "decision", "is_active")
 
