@@ -371,7 +371,7 @@ def components(spark, d):
     return cluster.components(s.select(F.col("entity_a_id").alias("a"), F.col("entity_b_id").alias("b")))
 
 
-@query(_COMPONENTS + """, w AS (SELECT component, final, CASE WHEN final >= 0.7 THEN (final - 0.7) / 0.3 ELSE (final - 0.7) / 0.7 END AS w FROM tiered JOIN comp ON node = a JOIN comp c ON c.node = b AND c.component = comp.component WHERE outcome <> 'below_maybe'),
+@query(_COMPONENTS + """, w AS (SELECT x.component, final, CASE WHEN final >= 0.7 THEN (final - 0.7) / 0.3 ELSE (final - 0.7) / 0.7 END AS w FROM tiered JOIN comp x ON x.node = a JOIN comp y ON y.node = b AND y.component = x.component WHERE outcome <> 'below_maybe'),
 z AS (SELECT component, count(*) AS cluster_size FROM comp GROUP BY 1)
 SELECT component, any_value(cluster_size) AS cluster_size, count(*) AS pair_count, round(avg(final), 6) AS avg_score, round(max(final), 6) AS max_score, round(min(final), 6) AS min_score, round(sum(w), 6) AS objective,
 round(sum(greatest(w, 0)), 6) AS positive, round(sum(greatest(-w, 0)), 6) AS negative, round(sum(greatest(-w, 0)) / any_value(cluster_size), 6) AS risk FROM w JOIN z USING (component) GROUP BY component""")
