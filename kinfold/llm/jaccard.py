@@ -126,8 +126,8 @@ def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 <
     return run
 
 
-def _join(t: float, chunk: int = 1 << 22):
-    """For mapInArrow: candidate pairs of sets of a partition's entries, distinct within it."""
+def _join(t: float, parts: int, chunk: int = 1 << 22):
+    """For mapInArrow: pairs of sets of a partition's entries with the number of common prefix n-grams there, to the partition of the lesser set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -180,16 +180,38 @@ def _join(t: float, chunk: int = 1 << 22):
             return
         add_up()
         pairs, times = found[0]
-        for lo in range(0, len(pairs), 1 << 18):
-            p = pairs[lo : lo + (1 << 18)]
+        for lo in range(0, len(pairs), 1 << 20):
+            p = pairs[lo : lo + (1 << 20)]
             a, b = p // len(sets), p % len(sets)
             lesser = np.minimum(size_of[a], size_of[b])
             need = np.minimum(_common(lesser), np.ceil(t * lesser - 1e-9).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(sets[a]), pa.array(sets[b]), pa.array(times[lo : lo + (1 << 18)].astype(np.int32)), pa.array(need.astype(np.int32))], ["a", "b", "times", "need"])
+            # sorted by a and sent by a: the partners of the sets of one group of copies are alike, which the blobs' compression finds
+            yield common.packed(parts, mix(sets[a]), [sets[a], sets[b], times[lo : lo + (1 << 20)].astype(np.int32), need.astype(np.int32)])
 
     return run
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets with the others that they have enough common prefix n-grams with, a row for each set."""
+    held = [common.unpacked(batch, (np.int64, np.int64, np.int32, np.int32)) for batch in batches]
+    if not held:
+        return
+    a, b, times, need = (np.concatenate(c) for c in zip(*held))
+    held.clear()
+    order = np.lexsort((b, a))
+    a, b, times, need = a[order], b[order], times[order].astype(np.int64), need[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    if not len(first):
+        return
+    enough = np.add.reduceat(times, first) >= need[first]
+    a, b = a[first][enough], b[first][enough]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
+    ends = np.append(at[1:], len(a))
+    for lo in range(0, len(at), 4096):
+        x, y = at[lo : lo + 4096], ends[lo : lo + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.ListArray.from_arrays(pa.array(np.append(x, y[-1]) - x[0], pa.int32()), pa.array(b[x[0] : y[-1]]))], ["a", "b"])
+
+
 def _verify(n: int, t: float):
     """For mapInArrow: similar pairs of a partition's candidates and texts."""
 
@@ -198,10 +220,11 @@ def _verify(n: int, t: float):
         pairs = []
         for batch in batches:
             text = batch.column("text")
-            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            a, b = batch.column("a").to_numpy(zero_copy_only=False), batch.column("b")
             is_text = text.is_valid().to_numpy(zero_copy_only=False)
-            pairs.append(np.column_stack([a[~is_text], b[~is_text]]))
-            own = [pa.decompress(text[int(k)].as_py(), int(b[k]), "zstd", asbytes=True).decode() for k in np.flatnonzero(is_text)]
+            lists = b.filter(pa.array(~is_text))
+            pairs.append(np.column_stack([np.repeat(a[~is_text], np.diff(lists.offsets.to_numpy()) if len(lists) else 0), lists.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64))
+            own = [pa.decompress(text[int(k)].as_py(), b[int(k)].as_py()[0], "zstd", asbytes=True).decode() for k in np.flatnonzero(is_text)]
             if own:
                 part = pa.RecordBatch.from_arrays([pa.array(own, pa.large_string()), pa.array(a[is_text])], ["text", "a"])
                 for s in common.slices(part, "text"):
@@ -246,6 +269,28 @@ def _verify(n: int, t: float):
     return run
 
 
+def _seen(needed: DataFrame, most: int = 1 << 26) -> np.ndarray:
+    """A Bloom filter of needed.doc_id: 16 bits for each id, ``most`` bits at most; too few bits let more pass, never fewer."""
+    n = needed.count()
+    bits = min(most, 1 << max(10, math.ceil(math.log2(16 * n + 1))))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(bits, bool)
+        for batch in batches:
+            for h in _places(common.ids(batch), bits):
+                on[h] = True
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(np.packbits(on).tobytes(), "zstd", asbytes=True)], pa.binary())], ["bits"])
+
+    total = np.zeros(bits // 8, np.uint8)
+    for r in needed.select("doc_id").repartition(4).mapInArrow(mark, "bits binary").toLocalIterator():
+        total |= np.frombuffer(pa.decompress(bytes(r.bits), bits // 8, "zstd", asbytes=True), np.uint8)
+    return total
+
+
+def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix(ids.view(np.uint64) + np.uint64(k * 0x9E3779B9)) & np.uint64(bits - 1)).astype(np.int64) for k in range(1, 5)]
+
+
 def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs a, b, jaccard of fingerprints of similar sets; members doc_id, fp), both written tables.
 
@@ -263,20 +308,26 @@ def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "
 
     members = common.written(source.mapInArrow(common.over_slices(fingerprint), "doc_id long, fp long").distinct(), "members")
     entries = source.mapInArrow(_prefixes(levels, n, t, parts), "part int, n long, entries binary")
-    found = entries.repartitionById(parts, F.col("part")).mapInArrow(_join(t), "a long, b long, times int, need int").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
+    found = entries.repartitionById(parts, F.col("part")).mapInArrow(_join(t, parts), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_count, "a long, b array<long>")
     candidates = common.written(found, "candidates")
     # a pair is verified at the least neighbour of its lesser set: sets of one group of copies meet there, once
-    place = candidates.groupBy("a").agg(F.min("b").alias("x")).unionByName(candidates.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("x"))).groupBy("a").agg(F.least(F.min("x"), F.col("a")).alias("k"))
-    placed = candidates.join(place, "a")
-    ends = placed.select("k", F.col("a").alias("fp")).unionByName(placed.select("k", F.col("b").alias("fp"))).distinct()
-    needed = ends.join(members.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fp")
+    least = candidates.select("a", F.array_min("b").alias("x")).unionByName(candidates.select(F.explode("b").alias("a"), F.col("a").alias("x")).groupBy("a").agg(F.min("x").alias("x")))
+    place = least.groupBy("a").agg(F.least(F.min("x"), F.col("a")).alias("k"))
+    placed = common.written(candidates.join(place, "a"), "placed")
+    ends = placed.select("k", F.explode(F.concat(F.array("a"), "b")).alias("fp")).distinct()
+    needed = common.written(ends.join(members.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fp"), "needed")
+    seen = _seen(needed)  # most texts are in no candidate pair and needn't be shuffled
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
+        on = np.ones(batch.num_rows, bool)
+        for h in _places(common.ids(batch), 8 * len(seen)):
+            on &= (seen[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1
+        batch = batch.filter(pa.array(on))
         raw = [x.as_buffer() for x in batch.column("text").cast(pa.binary())]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.size for x in raw], pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())], ["doc_id", "size", "text"])
 
     squeezed = source.mapInArrow(common.over_slices(squeeze), "doc_id long, size long, text binary")
-    shipped = squeezed.join(needed, "doc_id").select("k", F.col("fp").alias("a"), F.col("size").alias("b"), "text")
+    shipped = squeezed.join(needed, "doc_id").select("k", F.col("fp").alias("a"), F.array("size").alias("b"), "text")
     work = shipped.unionByName(placed.select("k", "a", "b", F.lit(None).cast("binary").alias("text")))
     pairs = work.repartition(parts, "k").select("a", "b", "text").mapInArrow(_verify(n, t), "a long, b long, jaccard double")
     return common.written(pairs, "similar"), members
