@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import common, decontaminate, jaccard, packing, secrets, toxicity
+from kinfold.llm import common, decontaminate, jaccard, packing, secrets, token_counts, toxicity
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where in which sequence each piece of each text goes."""
-    return packing.pack(docs)
+    return packing.pack(docs, vocabulary=token_counts.VOCABULARY)
 
 
 STAGES = [("toxicity", reject_toxic), ("ngram_jaccard_join", drop_near_duplicates), ("benchmark_decontamination", remove_benchmark), ("secret_scan", redact_secrets), ("best_fit_packing", pack)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, token_counts
 from .text import words
 
 
@@ -140,11 +140,18 @@ def _table(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return rows
 
 
-def pieces(docs: DataFrame, capacity: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start and n_tokens (words) of each piece; a text of w > 0 words has ceil(w / capacity) pieces."""
+def _lengths(column: pa.Array, vocabulary: str | None) -> np.ndarray:
+    """Tokens of each whole text, or its words without a vocabulary."""
+    if vocabulary is None:
+        return np.diff(words(column).doc)
+    return np.array([len(token_counts.encode(t, vocabulary)) for t in column.to_pylist()], np.int64)
+
+
+def pieces(docs: DataFrame, capacity: int, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, start and n_tokens of each piece; a text of w > 0 tokens has ceil(w / capacity) pieces."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = np.diff(words(batch.column("text")).doc)
+        n = _lengths(batch.column("text"), vocabulary)
         parts = -(-n // capacity)
         row = np.repeat(np.arange(len(n)), parts)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -154,10 +161,11 @@ def pieces(docs: DataFrame, capacity: int, *, id_col: str = "doc_id", text_col:
     return common.texts(docs, id_col, text_col).mapInArrow(common.over_slices(count), "doc_id long, piece long, start long, n_tokens long")
 
 
-def pack(docs: DataFrame, *, capacity: int = 2048, bins: int = 64, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = 2048, bins: int = 64, depth: int = 3, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, n_tokens, sequence and offset: where in which sequence of ``capacity`` tokens each piece goes.
 
-    Tokens are words; a piece starts at word ``start`` of its text and takes the slot at ``offset``, which is as wide as its bin;
+    Tokens are those of the whole text's encoding by ``vocabulary``, a file of ranks as in :mod:`token_counts`, or words without one;
+    a piece starts at token ``start`` of its text and takes the slot at ``offset``, which is as wide as its bin;
     slots of a sequence don't overlap and end within the capacity. Rows that repeat, or share an id, are packed each; null and
     empty texts have no pieces; rows without an id are skipped; an empty table gives no rows; other columns are not read.
     ``capacity`` must be a multiple of ``bins``.
@@ -166,7 +174,7 @@ def pack(docs: DataFrame, *, capacity: int = 2048, bins: int = 64, depth: int =
         raise ValueError("capacity must be a multiple of bins")
     spark, width = docs.sparkSession, capacity // bins
     n = common.partitions(spark)
-    own = common.written(pieces(docs, capacity, id_col=id_col, text_col=text_col).withColumn("bin", F.ceil(F.col("n_tokens") / width).cast("int")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(16 * n)).cast("int")), "pieces")
+    own = common.written(pieces(docs, capacity, vocabulary=vocabulary, id_col=id_col, text_col=text_col).withColumn("bin", F.ceil(F.col("n_tokens") / width).cast("int")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(16 * n)).cast("int")), "pieces")
     counts = own.groupBy("bin", "shard").agg(F.count("*").alias("n"))
     histogram = np.zeros(bins + 1, np.int64)
     for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():

@@ -43,7 +43,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary=token_counts.VOCABULARY)
 
 
 @_query

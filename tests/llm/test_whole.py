@@ -1,0 +1,19 @@
+"""Operators over all of their input: what a shorter way would leave out."""
+
+import corpus_pipeline
+from kinfold.llm import packing, queries, token_counts
+from tests.llm.test_operators import docs, none, prose, texts, valid_packing, words  # noqa: F401
+
+# 10
+
+
+def test_packing_counts_tokens_of_the_encoding(spark, tmp_path):
+    encoding, _ = token_counts.encoder(token_counts.VOCABULARY)
+    rows = [(1, prose(1, 900)), (2, "東京" * 3000), (3, "... !!! ???\n" * 400), (4, "x" * 5000), (5, ""), (6, None), (None, "left out"), (1, prose(2, 2500))]
+    own = [(i, len(encoding.encode_ordinary(t or ""))) for i, t in rows if i is not None]
+    assert own[0][1] != len(words(rows[0][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    valid_packing(packing.pack(df, capacity=256, bins=32, vocabulary=token_counts.VOCABULARY).collect(), own, 256)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    valid_packing(queries.QUERIES["op10_best_fit_packing"](spark, str(tmp_path)).collect(), own, 2048)
+    valid_packing(corpus_pipeline.pack(spark, df, str(tmp_path)).collect(), own, 2048)
