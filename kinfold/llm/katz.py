@@ -1,15 +1,16 @@
 """Scores of documents under a Katz back-off model of the whole corpus.
 
-A trigram model over words: Good-Turing discounts for counts up to 5, n-grams seen once are left to the lower order, and
-back-off weights make every conditional distribution sum to one. The vocabulary is the words seen at least twice; all others
-are one symbol, as is each document's end.
+A trigram model over words: Good-Turing discounts for counts up to 5, n-grams of ``least`` occurrences or more in the tables
+(1: all; 2 leaves those seen once to the lower order), and back-off weights make every conditional distribution sum to one. The
+vocabulary is the words seen at least twice; all others are one symbol, as is each document's end.
 
 * Unigrams are counted with map-side sums. The vocabulary goes to the executors while its size, which is checked, allows it;
   beyond that, words get their numbers by a join.
-* n-grams go to the partition of their last context word v. There are all trigrams u v w and bigrams v w of v, so counts,
-  discounts, probabilities and both orders' back-off weights of v are made in place; the tables are written by partition.
-* Tokens go to the same partitions with their documents, meet the tables there and are evaluated recursively: the trigram if it
-  is in the table, else the weight of u v times the bigram, else the weight of v times the unigram.
+* n-grams go to the partition of their last context word v, first counted beforehand for the counts of counts, from which the
+  discounts of the whole corpus are made.
+* Then tokens go to the same partitions with their documents. There are all trigrams u v w and bigrams v w of v, so counts,
+  probabilities and both orders' back-off weights of v are made in place, and no table of n-grams is written or sent: the
+  trigram if it is kept, else the weight of u v times the bigram, else the weight of v times the unigram.
 """
 
 from __future__ import annotations
@@ -112,13 +113,6 @@ def _weights(group: np.ndarray, count: np.ndarray, total: np.ndarray, lower: np.
     return p, np.where(closed, 0.0, (1 - seen) / np.where(closed, 1, 1 - below))
 
 
-def _key(*parts: np.ndarray) -> np.ndarray:
-    x = np.zeros(len(parts[0]), np.uint64)
-    for p in parts:
-        x = mix(x * np.uint64(3) + p.astype(np.uint64) + np.uint64(1))
-    return x
-
-
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in sorted keys, whether it's there)"""
     if not len(keys):
@@ -183,41 +177,19 @@ def _occurrences(encoded, parts: int, with_documents: bool):
 
 
 _KINDS = (np.int64, np.uint32, np.uint32, np.uint32)
-#: Columns of the tables: of order 3 u v w, of order 2 v w with u = 0; w = 0 has the context's total, then its weight.
-_MODEL = "part int, `order` int, n long, entries binary"
-_TABLE = (np.uint32, np.uint32, np.uint32, np.float64)
-
-
-def _blob(part: int, order: int, columns: list[np.ndarray]) -> tuple[int, int, int, bytes]:
-    return part, order, len(columns[0]), pa.compress(b"".join(np.ascontiguousarray(c, k).tobytes() for c, k in zip(columns, _TABLE)), "zstd", asbytes=True)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["part", "order", "n", "entries"])
-
-
-def _read(blob: pa.Scalar, n: int) -> list[np.ndarray]:
-    raw, at, out = pa.decompress(blob.as_py(), n * 20, "zstd", asbytes=True), 0, []
-    for k in _TABLE:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+_BLOCK = 1 << 20
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition: n-grams seen more than once, totals of all contexts that have any, and counts of counts (order 0: order, r, -, n)."""
-    held, part = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            part = batch.column("part")[0].as_py()
-            held.append(common.unpacked(batch, _KINDS))
+    """Counts of counts of a partition: how many n-grams of each order are seen r times, for r up to K + 1."""
+    held = [common.unpacked(batch, _KINDS) for batch in batches if batch.num_rows]
     if not held:
         return
     c, u, v, w = (np.concatenate(x) for x in zip(*held))
     held.clear()
     order = np.lexsort((w, u, v))
     c, u, v, w = c[order], u[order], v[order], w[order]
-    out = []
     for n in (3, 2):
         if n == 2:
             order = np.lexsort((w, v))
@@ -226,107 +198,73 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(c), bool)
         new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
         c, u, v, w = np.add.reduceat(c, np.flatnonzero(new)), u[new], v[new], w[new]
-        low = np.bincount(c[c <= K + 1], minlength=K + 2)
-        r = np.arange(1, K + 2)
-        out.append(_blob(part, 0, [np.full(K + 1, n), r, r, low[1:].astype(float)]))
-        head = np.ones(len(c), bool)
-        head[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-        total = np.add.reduceat(c, np.flatnonzero(head))
-        many = c > 1
-        context = np.cumsum(head) - 1
-        use = np.bincount(context, many) > 0
-        hu, hv = u[head][use], v[head][use]
-        out.append(_blob(part, n, [np.concatenate([u[many], hu]), np.concatenate([v[many], hv]), np.concatenate([w[many], np.zeros(len(hu))]), np.concatenate([c[many], total[use]])]))
-    yield _rows(out)
-
-
-def _modelled(d: dict[int, np.ndarray], unigram):
-    """For mapInArrow: probabilities and weights in place of the counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p_of = unigram()
-        for batch in batches:
-            by_part: dict[int, dict[int, list[np.ndarray]]] = {}
-            for part, order, n, blob in zip(batch.column("part").to_pylist(), batch.column("order").to_pylist(), batch.column("n").to_pylist(), batch.column("entries")):
-                by_part.setdefault(part, {})[order] = _read(blob, n)
-            for part, tables in by_part.items():
-                lower = None
-                for order in (2, 3):
-                    u, v, w, c = tables[order]
-                    context = w == BEGIN
-                    keys = _key(u[context], v[context])
-                    o = np.argsort(keys)
-                    total = c[context][o]
-                    group, _ = _find(keys[o], _key(u[~context], v[~context]))
-                    below = p_of(w[~context]) if lower is None else lower(v[~context], w[~context])
-                    p, weight = _weights(group, c[~context].astype(np.int64), total, below, d[order])
-                    value = np.concatenate([p, weight])
-                    columns = [np.concatenate([x[~context], x[context][o]]) for x in (u, v, w)]
-                    yield _rows([_blob(part, order, [*columns, value])])
-                    if order == 2:
-                        lower = Lookup([(columns[1], columns[2])], value, p_of)
-
-    return run
-
+        low = np.bincount(c[c <= K + 1], minlength=K + 2)[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(K + 1, n, np.int32)), pa.array(np.arange(1, K + 2, dtype=np.int32)), pa.array(low.astype(np.int64))], ["order", "r", "n"])
+
+
+def _backed_off(context: np.ndarray, count: np.ndarray, lower: np.ndarray, d: np.ndarray, least: int) -> np.ndarray:
+    """Probability of each n-gram that is seen: its own with least occurrences or more, else the weight of its context times the lower order's."""
+    _, group = np.unique(context, return_inverse=True)
+    total = np.bincount(group, count)
+    kept = count >= least
+    p, weight = _weights(group[kept], count[kept], total, lower[kept], d)
+    out = weight[group] * lower
+    out[kept] = p
+    return out
 
-class Lookup:
-    """Bigram probabilities, backed off to p_of."""
 
-    def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]], value: np.ndarray, p_of):
-        keys = _key(*(np.concatenate(x) for x in zip(*pairs)))
-        o = np.argsort(keys)
-        self.keys, self.value, self.p_of = keys[o], value[o], p_of
+def _bigrams(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct bigrams (v in the upper half, w in the lower) and their counts."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(v), _BLOCK):
+        held.append(np.unique(v[lo : lo + _BLOCK].astype(np.uint64) << _HALF | w[lo : lo + _BLOCK], return_counts=True))
+        if len(held) > 3 or lo + _BLOCK >= len(v):
+            key, count = (np.concatenate(x) for x in zip(*held))
+            key, code = np.unique(key, return_inverse=True)
+            held = [(key, np.bincount(code, count).astype(np.int64))]
+    return held[0]
 
-    def __call__(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        at, known = _find(self.keys, _key(v, w))
-        context, has = _find(self.keys, _key(v, np.zeros(len(v), np.uint32)))
-        if not len(self.keys):
-            return self.p_of(w)
-        return np.where(known, self.value[at], np.where(has, self.value[context], 1.0) * self.p_of(w))
 
+def _evaluated(parts: int, unigram, d: dict[int, np.ndarray], least: int):
+    """For mapInArrow, over a partition's tokens: sums of each document's log probabilities, to the partition of the document.
 
-def _evaluated(parts: int, unigram):
-    """For mapInArrow, over a partition's tables and tokens: sums of each document's log probabilities, to the partition of the document."""
+    Bigrams are counted over the whole partition; trigrams by groups of their contexts u v, about so many tokens at a time as _BLOCK.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p_of = unigram()
-        tables: dict[int, list[np.ndarray]] = {}
-        held = []
-        for batch in batches:
-            order = batch.column("order").to_numpy()
-            for k in np.flatnonzero(order > 0).tolist():
-                tables[int(order[k])] = _read(batch.column("entries")[k], batch.column("n")[k].as_py())
-            tokens = batch.filter(pa.array(order < 0))
-            if tokens.num_rows:
-                held.append(common.unpacked(tokens, _KINDS))
+        held = [common.unpacked(batch, _KINDS) for batch in batches if batch.num_rows]
         if not held:
             return
-        empty = [np.zeros(0, k) for k in _TABLE]
-        u2, v2, w2, p2 = tables.get(2, empty)
-        bigram = Lookup([(v2, w2)], p2, p_of)
-        u3, v3, w3, p3 = tables.get(3, empty)
-        keys = _key(u3, v3, w3)
-        o = np.argsort(keys)
-        keys, p3 = keys[o], p3[o]
-        docs, logs = [], []
-        doc, u, v, w = (np.concatenate(x) for x in zip(*held))
+        p_of = unigram()
+        doc, u, v, w = (np.concatenate(x) for x in zip(*held)) if len(held) > 1 else held[0]
         held.clear()
-        for lo in range(0, len(doc), 1 << 20):
-            x, y, z = (c[lo : lo + (1 << 20)] for c in (u, v, w))
-            p = bigram(y, z)
-            if len(keys):
-                at, known = _find(keys, _key(x, y, z))
-                context, has = _find(keys, _key(x, y, np.zeros(len(x), np.uint32)))
-                p = np.where(known, p3[at], np.where(has, p3[context], 1.0) * p)
-            docs.append(doc[lo : lo + (1 << 20)])
-            logs.append(np.log(p))
-        doc, code = np.unique(np.concatenate(docs), return_inverse=True)
-        log = np.concatenate(logs)
-        yield common.packed(parts, mix(doc), [doc, np.bincount(code, log), np.bincount(code).astype(np.int32)])
+        two, count = _bigrams(v, w)
+        p2 = _backed_off(two >> _HALF, count, p_of((two & _LOW).astype(np.int64)), d[2], least)
+        groups = -(-len(doc) // _BLOCK)
+        group = np.concatenate([(_context(u[lo : lo + _BLOCK], v[lo : lo + _BLOCK]) % np.uint64(groups)).astype(np.uint16) for lo in range(0, len(doc), _BLOCK)])
+        for k in range(groups):
+            at = np.flatnonzero(group == k)
+            if not len(at):
+                continue
+            own, code = np.unique(v[at].astype(np.uint64) << _HALF | w[at], return_inverse=True)
+            key = u[at].astype(np.uint64) << _HALF | code.astype(np.uint64)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            three, count = key[first], np.diff(np.append(first, len(key)))
+            bigram = (three & _LOW).astype(np.int64)
+            context = three >> _HALF << _HALF | own[bigram] >> _HALF
+            p3 = _backed_off(context, count, p2[np.searchsorted(two, own)][bigram], d[3], least)
+            ids, code = np.unique(doc[at][order], return_inverse=True)
+            yield common.packed(parts, mix(ids), [ids, np.bincount(code, np.repeat(np.log(p3), count)), np.bincount(code).astype(np.int32)])
 
     return run
 
 
+def _context(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix(u.astype(np.uint64) << _HALF | v)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [common.unpacked(batch, (np.int64, np.float64, np.int32)) for batch in batches]
     if held:
@@ -345,12 +283,13 @@ def _unigram(documents: int, once: int, steps: tuple[np.ndarray, np.ndarray], to
     return lambda w: p[np.searchsorted(first, w, side="right") - 1]
 
 
-def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 256 << 20) -> DataFrame:
+def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 256 << 20, least: int = 2) -> DataFrame:
     """doc_id, n_tokens, log_prob (natural) and perplexity of each document under the model of all of docs.
 
     n_tokens counts the words and one end for each row. Rows that repeat, or share an id, count in the corpus each and are scored
     together; null and empty texts are an end alone; rows without an id are left out altogether; an empty table gives no rows;
-    other columns are not read. A vocabulary of more than ``broadcast_bytes`` is joined instead of sent to the executors.
+    other columns are not read. n-grams of fewer than ``least`` occurrences are left to the lower order; with 1 none is, and those
+    seen once get their Good-Turing discount. A vocabulary of more than ``broadcast_bytes`` is joined instead of sent to the executors.
     """
     spark = docs.sparkSession
     source = common.texts(docs, id_col, text_col)
@@ -373,14 +312,14 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
             size = np.array([len(x) for x in lists], np.int64)
             yield common.ids(batch), lists.flatten().to_numpy().astype(np.uint32), np.concatenate([[0], np.cumsum(size)])
 
-        return _scores(numbered_docs, read, unigram, parts)
+        return _scores(numbered_docs, read, unigram, parts, least)
     shared = spark.sparkContext.broadcast(numbered(counts))
 
     def encoded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for part in common.slices(batch, "text"):
             yield common.ids(part), *_encode(part.column("text"), shared.value)
 
-    return _scores(source, encoded, unigram, parts)
+    return _scores(source, encoded, unigram, parts, least)
 
 
 def _joined(source: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
@@ -405,18 +344,11 @@ def _joined(source: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
     return common.written(lists.select("doc_id", F.col("x.number").alias("numbers")), "numbered")
 
 
-def _scores(source: DataFrame, encoded, unigram, parts: int) -> DataFrame:
-    counted = source.mapInArrow(_occurrences(encoded, parts, False), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_counted, _MODEL)
-    counted = common.written(counted, "ngram-counts")
+def _scores(source: DataFrame, encoded, unigram, parts: int, least: int) -> DataFrame:
+    counted = source.mapInArrow(_occurrences(encoded, parts, False), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_counted, "`order` int, r int, n long")
     of: dict[int, dict[int, int]] = {2: {}, 3: {}}
-    for r in counted.where("`order` = 0").toLocalIterator():
-        order, low, _, n = _read(pa.scalar(bytes(r.entries)), r.n)
-        for k in range(len(n)):
-            own = of[int(order[k])]
-            own[int(low[k])] = own.get(int(low[k]), 0) + int(n[k])
+    for r in counted.groupBy("order", "r").agg(F.sum("n").alias("n")).collect():
+        of[r.order][r.r] = r.n
     d = {order: discounts(n) for order, n in of.items()}
-    tables = counted.where("`order` > 0").repartitionById(parts, F.col("part")).mapInArrow(_modelled(d, unigram), _MODEL)
-    model = common.written(tables, "ngram-model")
-    tokens = source.mapInArrow(_occurrences(encoded, parts, True), common.PACKED).select("part", F.lit(-1).alias("order"), "n", "entries")
-    own = model.unionByName(tokens).repartitionById(parts, F.col("part"))
-    return own.mapInArrow(_evaluated(parts, unigram), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_summed, "doc_id long, n_tokens long, log_prob double, perplexity double")
+    tokens = source.mapInArrow(_occurrences(encoded, parts, True), common.PACKED).repartitionById(parts, F.col("part"))
+    return tokens.mapInArrow(_evaluated(parts, unigram, d, least), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_summed, "doc_id long, n_tokens long, log_prob double, perplexity double")

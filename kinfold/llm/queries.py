@@ -83,7 +83,7 @@ SELECT doc_id, min(s) AS start, max(s) + 50 AS "end", max(s) + 50 - min(s) AS n_
 
 @_query
 def op4_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.scores(table(spark, sf_dir, "documents"))
+    return katz.scores(table(spark, sf_dir, "documents"), least=1)
 
 
 @_query

@@ -1,7 +1,13 @@
 """Operators over all of their input: what a shorter way would leave out."""
 
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from kinfold.llm import packing, queries, token_counts
+from kinfold.llm import common, katz, packing, queries, token_counts
 from tests.llm.test_operators import docs, none, prose, texts, valid_packing, words  # noqa: F401
 
 # 10
@@ -17,3 +23,71 @@ def test_packing_counts_tokens_of_the_encoding(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     valid_packing(queries.QUERIES["op10_best_fit_packing"](spark, str(tmp_path)).collect(), own, 2048)
     valid_packing(corpus_pipeline.pack(spark, df, str(tmp_path)).collect(), own, 2048)
+
+
+# 4
+
+
+def whole_katz(rows, k=5):
+    """Of documents with an id: log probabilities under the model with every n-gram, and how many n-grams seen once were discounted."""
+    own = [(i, words(t)) for i, t in rows if i is not None]
+    seen = Counter(w for _, d in own for w in d)
+    own = [(i, ["<b>", "<b>", *[w if seen[w] > 1 else "<u>" for w in d], "<e>"]) for i, d in own]
+    unigram = Counter(w for _, s in own for w in s[2:])
+    p1, once = {w: c / sum(unigram.values()) for w, c in unigram.items()}, []
+
+    def model(n, lower):
+        counts = Counter(tuple(s[j - n + 1 : j + 1]) for _, s in own for j in range(2, len(s)))
+        low = Counter(counts.values())
+        tail, d = (k + 1) * low[k + 1] / low[1], {}
+        for r in range(1, k + 1):
+            x = ((r + 1) * low[r + 1] / (r * low[r]) - tail) / (1 - tail) if low[r] and low[r + 1] and tail < 1 else 1.0
+            d[r] = x if 0 < x <= 1 else 1.0
+        once.append(low[1] if d[1] < 1 else 0)
+        table, total, weight = defaultdict(dict), Counter(), {}
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            table[g[:-1]][g[-1]] = d.get(c, 1.0) * c
+        for h, m in table.items():
+            under = total[h] + (total[h] - sum(m.values()) < 1e-9 * total[h])
+            p, below = {w: x / under for w, x in m.items()}, sum(lower(h[1:], w) for w in m)
+            closed = 1 - below < 1e-12
+            weight[h] = 0.0 if closed else (1 - sum(p.values())) / (1 - below)
+            table[h] = {w: x / sum(p.values()) for w, x in p.items()} if closed else p
+        return lambda h, w: table[h][w] if w in table.get(h, {}) else weight.get(h, 1.0) * lower(h[1:], w)
+
+    tri = model(3, model(2, lambda _, w: p1[w]))
+    for _, s in own[:3]:
+        assert all(abs(sum(tri(tuple(s[j - 2 : j]), w) for w in p1) - 1) < 1e-9 for j in range(2, min(9, len(s))))
+    out = Counter()
+    for i, s in own:
+        out[i] += sum(math.log(tri(tuple(s[j - 2 : j]), s[j])) for j in range(2, len(s)))
+    return out, once
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 0])
+def test_katz_keeps_ngrams_seen_once(spark, docs, texts, none, tmp_path, limit):  # noqa: F811
+    want, once = whole_katz(texts)
+    assert min(once) > 100
+    got = {r.doc_id: r.log_prob for r in katz.scores(docs, broadcast_bytes=limit, least=1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+    assert katz.scores(none, broadcast_bytes=limit, least=1).count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.log_prob for r in queries.QUERIES["op4_katz_scoring"](spark, str(tmp_path)).collect()} == pytest.approx(got, abs=1e-5)
+
+
+def test_katz_in_groups_of_contexts(monkeypatch):
+    r = np.random.default_rng(4)
+    columns = [r.integers(0, 40, 5000), *(r.integers(0, 25, 5000).astype(np.uint32) for _ in range(3))]
+    d = {2: np.array([1, 0.4, 0.7, 0.8, 0.9, 0.95]), 3: np.array([1, 0.3, 0.6, 0.8, 0.9, 0.95])}
+
+    def sums(block):
+        monkeypatch.setattr(katz, "_BLOCK", block)
+        out = Counter()
+        for batch in katz._evaluated(4, lambda: lambda w: np.full(len(w), 0.04), d, 1)(iter([common.packed(1, columns[2].astype(np.uint64), columns)])):
+            for i, log, n in zip(*common.unpacked(batch, (np.int64, np.float64, np.int32))):
+                out[i, "log"] += log
+                out[i, "n"] += n
+        return out
+
+    assert sums(300) == pytest.approx(sums(1 << 20))
