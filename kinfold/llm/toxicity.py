@@ -5,13 +5,15 @@ their first 4, 5 and 6 bytes (present or not) and the probabilities of all earli
 earlier ones as they are on unseen documents. The label table knows one toxicity label only, so the first category is that
 label and the later ones are weak labels: a toxic document with a word of the category's list, which is a parameter.
 
-Training takes at most ``per_class`` labelled documents of each class, those with the smallest hash of the id, which bounds
-what is broadcast and what comes to the driver; everything else is one pass over all documents without a shuffle.
+The models are fitted to at most ``per_class`` labelled documents of each class, those with the smallest hash of the id, which
+bounds what is broadcast and what comes to the driver; each class weighs as much as it has labels, so the class ratio is that of
+all labels at every size. The threshold is set on all labelled documents: out-of-fold probabilities of those that train, and
+counts of the others' probabilities, from one pass over all documents whose ids and probabilities alone are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,6 +34,8 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
 PREFIXES = (4, 5, 6)
 _LEAST = 20
 _SURE = 30.0
+#: Probabilities of documents that don't train are counted by so many levels for the threshold.
+_LEVELS = 1 << 14
 
 
 class Linear(NamedTuple):
@@ -43,7 +47,7 @@ class Linear(NamedTuple):
 
 
 class Chain(NamedTuple):
-    """threshold: of the label's probability, set on out-of-fold predictions; vocabulary: sorted hashes of the words and beginnings of words that are features; models: one for each name, over the words and the earlier probabilities."""
+    """threshold: of the label's probability, set on predictions for documents that a model isn't fitted to; vocabulary: sorted hashes of the words and beginnings of words that are features; models: one for each name, over the words and the earlier probabilities."""
 
     names: tuple[str, ...]
     vocabulary: np.ndarray
@@ -77,36 +81,38 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int) -> Linear:
-    """Logistic regression by accelerated gradient steps; a class of fewer than 20 documents gives a constant model."""
+def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int, weight: np.ndarray) -> Linear:
+    """Weighted logistic regression by accelerated gradient steps; a class of fewer than 20 documents gives a constant model."""
     n, k = x.shape
     if not n or min(y.sum(), n - y.sum()) < min(_LEAST, n):
-        p = (y.sum() + 0.5 * (0 < y.sum() < n)) / max(1, n)
+        p = (weight @ y + 0.5 * (0 < y.sum() < n)) / max(1, weight.sum())
         return Linear(np.zeros(k), float(np.log(max(p, 1e-6) / max(1 - p, 1e-6))))
-    step = 4 / (np.linalg.norm(x, 2 if k < 64 else None) ** 2 / n + 1 + l2) if k < 64 else 4 / (_largest(x) / n + 1 + l2)
+    weight = (weight / weight.mean()).astype(np.float32)
+    step = 4 / ((np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 if k < 64 else _largest(x, weight)) / n + 1 + l2)
     w, b, v, c = np.zeros(k, np.float32), 0.0, np.zeros(k, np.float32), 0.0
     for t in range(steps):
-        r = _sigmoid(x @ v + c) - y
+        r = weight * (_sigmoid(x @ v + c) - y)
         w2, b2 = v - step * ((x.T @ r.astype(np.float32)) / n + l2 * v), c - step * r.mean()
         a = t / (t + 3)
         v, c, w, b = w2 + a * (w2 - w), b2 + a * (b2 - b), w2, b2
     return Linear(w.astype(float), float(b))
 
 
-def _largest(x: np.ndarray) -> float:
-    """Largest eigenvalue of x'x by power iteration, a little above."""
+def _largest(x: np.ndarray, weight: np.ndarray) -> float:
+    """Largest eigenvalue of x'wx by power iteration, a little above."""
     v = np.ones(x.shape[1], np.float32)
     for _ in range(12):
-        v = x.T @ (x @ v)
+        v = x.T @ (weight * (x @ v))
         size = float(np.linalg.norm(v)) or 1.0
         v /= size
     return 1.1 * size
 
 
-def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, categories: dict[str, tuple[str, ...]] = CATEGORIES, *, features: int = 2048, folds: int = 5, l2: float = 1e-3, steps: int = 150) -> Chain:
+def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, categories: dict[str, tuple[str, ...]] = CATEGORIES, *, features: int = 2048, folds: int = 5, l2: float = 1e-3, steps: int = 150, weights: tuple[float, float] = (1.0, 1.0), others: Callable[[Chain], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> Chain:
     """A chain from the distinct word hashes of each labelled text and its label; folds go by place in the list.
 
-    Of near copies one trains, else a group of copies with one wrong label would teach its words.
+    weights: of each text by its label. others: for the chain, probabilities of further labelled texts, their labels and how often
+    each is, which count for the threshold too. Of near copies one trains, else a group of copies with one wrong label would teach its words.
     """
     alone = _one_of_each(sets)
     sets, toxic = [sets[k] for k in alone], toxic[alone]
@@ -136,24 +142,29 @@ def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, categories: dict[str, t
     x = np.zeros((n, len(best)), np.float32)
     seen = where[code] >= 0
     x[row[seen], where[code[seen]]] = 1
-    fold, models, threshold = np.arange(n) % folds, [], 0.5
+    fold, models, first = np.arange(n) % folds, [], np.zeros(0)
+    weight = np.array(weights)[toxic.astype(np.int64)]
     for y in labels:
-        models.append(_fit(x, y, l2, steps))
+        models.append(_fit(x, y, l2, steps, weight))
         held = np.zeros(n, np.float32)
         for f in range(folds):
             if (fold == f).any():
-                held[fold == f] = _fit(x[fold != f], y[fold != f], l2, steps)(x[fold == f])
-        if len(models) == 1 and 0 < y.sum() < n:
-            threshold = _best_cut(held, y)
+                held[fold == f] = _fit(x[fold != f], y[fold != f], l2, steps, weight[fold != f])(x[fold == f])
+        if len(models) == 1:
+            first = held
         x = np.column_stack([x, held])
-    return Chain(names, vocabulary[best], tuple(models), threshold)
+    chain = Chain(names, vocabulary[best], tuple(models))
+    p, y, times = first, labels[0], np.ones(n)
+    if others is not None:
+        p, y, times = (np.concatenate(c) for c in zip((p, y, times), others(chain)))
+    return chain._replace(threshold=_best_cut(p, y, times)) if 0 < y.sum() < len(y) else chain
 
 
-def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1, half-way between the predictions on both sides of it."""
+def _best_cut(p: np.ndarray, y: np.ndarray, times: np.ndarray) -> float:
+    """The cut with the best F1, half-way between the predictions on both sides of it; each prediction is there so many times."""
     order = np.argsort(-p, kind="stable")
-    q, hit = p[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
+    q, hit = p[order], np.cumsum((y * times)[order])
+    f1 = 2 * hit / (np.cumsum(times[order]) + y @ times)
     f1[:-1][q[:-1] == q[1:]] = -1
     k = int(np.argmax(f1))
     return float((q[k] + (q[k + 1] if k + 1 < len(q) else 0)) / 2)
@@ -176,7 +187,10 @@ def _one_of_each(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, *, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
-    """A chain from at most ``per_class`` labelled documents of each class."""
+    """A chain fitted to at most ``per_class`` labelled documents of each class, with the threshold of all labelled documents.
+
+    Of near copies among those that train one counts; a labelled document that doesn't train counts as often as it is in docs.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     key = F.xxhash64("doc_id")
     sample = known.where("label = 0").orderBy(key, "doc_id").limit(per_class).unionByName(known.where("label = 1").orderBy(key, "doc_id").limit(per_class))
@@ -192,7 +206,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
     rows = sorted((r.doc_id, r.label, bytes(r.words)) for r in picked.mapInArrow(common.over_slices(distinct), "doc_id long, label int, words binary").collect())
     rows = [r for k, r in enumerate(rows) if not k or r[0] != rows[k - 1][0]]
     order = np.random.default_rng(11).permutation(len(rows))
-    return fit_chain([np.frombuffer(rows[k][2], np.uint64) for k in order], np.array([rows[k][1] for k in order], np.int64), categories)
+    sets, toxic = [np.frombuffer(rows[k][2], np.uint64) for k in order], np.array([rows[k][1] for k in order], np.int64)
+    count = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weights = tuple(max(count.get(c, 0), 1) / max(1, min(count.get(c, 0), per_class)) for c in (0, 1))
+    if weights == (1.0, 1.0):
+        return fit_chain(sets, toxic, categories)
+
+    def others(chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array((chain.predict(batch.column("text"))[:, 0] * _LEVELS).astype(np.int32))], ["doc_id", "level"])
+
+        left = known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
+        levels = common.texts(docs, id_col, text_col).mapInArrow(common.over_slices(place), "doc_id long, level int").join(left, "doc_id")
+        found = levels.groupBy("level", "label").agg(F.count("*").alias("n")).collect()
+        level, label, n = (np.array([r[k] for r in found], float) for k in range(3))
+        return (level + 0.5) / _LEVELS, label, n
+
+    return fit_chain(sets, toxic, categories, weights=weights, others=others)
 
 
 def scores(docs: DataFrame, chain: Chain, *, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,13 +1,14 @@
 """Operators over all of their input: what a shorter way would leave out."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from kinfold.llm import common, katz, packing, queries, token_counts
+from kinfold.llm import common, katz, packing, queries, token_counts, toxicity
 from tests.llm.test_operators import docs, none, prose, texts, valid_packing, words  # noqa: F401
 
 # 10
@@ -91,3 +92,27 @@ def test_katz_in_groups_of_contexts(monkeypatch):
         return out
 
     assert sums(300) == pytest.approx(sums(1 << 20))
+
+
+# 2
+
+
+def test_toxicity_threshold_is_that_of_all_labels(spark):
+    r, rows, labels = random.Random(6), [], []
+    for i in range(1200):
+        toxic = i % 8 == 0
+        own = prose(2000 + i, 40).split()
+        for bad in ["idiot", "moron", "scum", "trash"]:  # in clean documents too, but seldom
+            if r.random() < (0.5 if toxic else 0.12):
+                own.insert(r.randrange(len(own)), bad)
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")  # noqa: F811
+    got = {}
+    for size in (80, 100_000):
+        chain = toxicity.train(docs, known, per_class=size)
+        p = {x.doc_id: (x.p_toxic, x.is_toxic) for x in toxicity.scores(docs, chain).collect()}
+        got[size] = sum(x for x, _ in p.values()) / len(p), sum(t for _, t in p.values()), max(2 * sum(y and p[i][0] >= c for i, y in labels) / (sum(p[i][0] >= c for i, _ in labels) + 150) for c, _ in p.values()), 2 * sum(y and p[i][1] for i, y in labels) / (sum(t for _, t in p.values()) + 150)
+    assert abs(got[80][0] - 1 / 8) < 0.05  # probabilities of the labels' rate, not of the sample's
+    assert got[80][3] > got[80][2] - 0.05  # the threshold is nearly the best for all labelled documents
+    assert abs(got[80][1] - got[100_000][1]) < 120
