@@ -5,17 +5,20 @@ shard is a slice of the documents; the words that occur in no phrase are folded
 such symbols is left out where it is too short for any phrase, which changes no count of any phrase. Over the rest the
 shard gets a suffix array, its Burrows-Wheeler transform in a wavelet matrix and every 32nd suffix position; phrases are
 searched backwards through ranks, all at once, located by LF steps to the next sampled position, and the spans of a
-document are merged where they overlap or touch. Nothing is shuffled.
+document are merged where they overlap or touch. Nothing is shuffled, unless the benchmark takes several passes: then rows are
+numbered and written, the spans of all passes are merged for each row, and texts are joined with them to be cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -24,6 +27,8 @@ from .text import WORD, words
 _CASED = regex.compile(WORD.replace("[", "[A-Z"))
 _SAMPLE = 32
 SCHEMA = "doc_id long, start long, end long, n_words int, items array<long>"
+#: With the place of the first word.
+_FOUND = f"{SCHEMA}, first long"
 
 
 class WaveletMatrix:
@@ -181,11 +186,11 @@ def _finder(vocabulary: np.ndarray, phrases: np.ndarray, sizes: np.ndarray, owne
                     merged.append([a, b, {item}])
             at = [m.span() for m in _CASED.finditer(batch.column("text")[row].as_py())]
             doc = batch.column("doc_id")[row].as_py()
-            out += [(doc, at[a][0], at[b - 1][1], b - a, sorted(items)) for a, b, items in merged]
+            out += [(doc, at[a][0], at[b - 1][1], b - a, sorted(items), a) for a, b, items in merged]
         if not out:
             return None
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "start", "end", "n_words", "items"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "start", "end", "n_words", "items", "first"])
 
     return find
 
@@ -201,50 +206,70 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least: i
     items = [(r[0], r[1] or "") for r in benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).toLocalIterator()]
     items = sorted(set(items))
     source = common.texts(docs, id_col, text_col)
-    out = None
-    for lo in range(0, max(1, len(items)), items_at_once):
-        model = phrases_of(items[lo : lo + items_at_once], n, least)
-        spans = source.mapInArrow(common.over_slices(_finder(*model, least)), SCHEMA)
-        out = spans if out is None else out.unionByName(spans)
-    return out if len(items) <= items_at_once else _merge(out)
+    if len(items) <= items_at_once:
+        return source.mapInArrow(common.over_slices(_finder(*phrases_of(items, n, least), least)), _FOUND).drop("first")
+    rows = common.written(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+    spans = _merge(rows.select(F.col("row").alias("doc_id"), "text"), items, n, least, items_at_once)
+    return spans.join(rows.select("row", "doc_id"), "row").select("doc_id", "start", "end", "n_words", "items")
 
 
-def _merge(spans: DataFrame) -> DataFrame:
-    """Spans of several passes over the same documents, merged again."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    part = spans.withColumn("part", F.sum(F.when(reach >= F.col("start") - 1, 0).otherwise(1)).over(w))  # one separator may lie between touching spans
-    return part.groupBy("doc_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("int").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select("doc_id", "start", "end", "n_words", "items")
+def _merge(rows: DataFrame, items: list[tuple[int, str]], n: int, least: int, items_at_once: int) -> DataFrame:
+    """row, start, end, n_words, items: the spans of several passes over rows (their number as doc_id, text), merged within each row by their words."""
+    spans = None
+    for lo in range(0, len(items), items_at_once):
+        found = rows.mapInArrow(common.over_slices(_finder(*phrases_of(items[lo : lo + items_at_once], n, least), least)), _FOUND)
+        spans = found if spans is None else spans.unionByName(found)
+    last = F.col("first") + F.col("n_words")
+    w = W.partitionBy("doc_id").orderBy("first", last)
+    reach = F.max(last).over(w.rowsBetween(W.unboundedPreceding, -1))
+    part = spans.withColumn("part", F.sum(F.when(reach >= F.col("first"), 0).otherwise(1)).over(w))
+    own = (F.min("start").alias("start"), F.max("end").alias("end"), (F.max(last) - F.min("first")).cast("int").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return part.groupBy("doc_id", "part").agg(*own).select(F.col("doc_id").alias("row"), "start", "end", "n_words", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least: int = 5, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", items_at_once: int = 100_000) -> DataFrame:
     """docs without the spans of :func:`contamination`, in the columns of docs; a text of which only white space and punctuation stays goes.
 
     Texts without a match, null texts and rows without an id stay as they are. ``length_col`` is set anew where a text changes.
+    A benchmark of several passes is searched in the texts as they are, and each text is cut once.
     """
     items = sorted({(r[0], r[1] or "") for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()})
-    for lo in range(0, len(items), items_at_once):
-        docs = _cut(docs, phrases_of(items[lo : lo + items_at_once], n, least), least, text_col, length_col)
-    return docs
+    if not items:
+        return docs
+    t, size = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
+    if len(items) <= items_at_once:
+        find = _finder(*phrases_of(items, n, least), least)
+
+        def search(part: pa.RecordBatch) -> list[tuple[int, int, int]]:
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(t).cast(pa.string()).fill_null("")], ["doc_id", "text"])
+            spans = find(own)
+            return [] if spans is None else list(zip(*(spans.column(k).to_pylist() for k in range(3))))
+
+        return docs.mapInArrow(_cut(search, t, size, len(docs.columns)), docs.schema)
+    row, cuts = (f"__{x}_{uuid.uuid4().hex[:8]}" for x in ("row", "cuts"))
+    rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = rows.select(F.col(row).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    spans = _merge(texts, items, n, least, items_at_once).groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
+
+    def known(part: pa.RecordBatch) -> list[tuple[int, int, int]]:
+        return [(k, x["start"], x["end"]) for k, own in enumerate(part.column(part.num_columns - 1).to_pylist()) for x in own or ()]
+
+    return rows.join(spans, row, "left").select(*[f"`{c}`" for c in docs.columns], cuts).mapInArrow(_cut(known, t, size, len(docs.columns)), docs.schema)
 
 
-def _cut(docs: DataFrame, model: tuple, least: int, text_col: str, length_col: str) -> DataFrame:
-    names, schema = docs.columns, docs.schema
-    t, size = names.index(text_col), names.index(length_col) if length_col in names else None
-    find = _finder(*model, least)
+def _cut(search: Callable[[pa.RecordBatch], list[tuple[int, int, int]]], t: int, size: int | None, width: int):
+    """For mapInArrow: the first ``width`` columns of the rows, without the spans (row, start, end) that search gives in order."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, t):
-                own = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(t).cast(pa.string()).fill_null("")], ["doc_id", "text"])
-                spans = find(own)
-                if spans is None:
+                spans = search(part)
+                part = part.select(list(range(width)))
+                if not spans:
                     yield part
                     continue
                 by_row: dict[int, list[tuple[int, int]]] = {}
-                for row, a, b in zip(spans.column(0).to_pylist(), spans.column(1).to_pylist(), spans.column(2).to_pylist()):
+                for row, a, b in spans:
                     by_row.setdefault(row, []).append((a, b))
                 text, keep = part.column(t).to_pylist(), np.ones(part.num_rows, bool)
                 length = part.column(size).to_pylist() if size is not None else None
@@ -263,4 +288,4 @@ def _cut(docs: DataFrame, model: tuple, least: int, text_col: str, length_col: s
                     arrays[size] = pa.array(length, part.column(size).type)
                 yield pa.RecordBatch.from_arrays(arrays, schema=part.schema).filter(pa.array(keep))
 
-    return docs.mapInArrow(cut, schema)
+    return cut

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from kinfold.llm import common, katz, packing, queries, token_counts, toxicity
+from kinfold.llm import common, decontaminate, katz, packing, queries, token_counts, toxicity
 from tests.llm.test_operators import docs, none, prose, texts, valid_packing, words  # noqa: F401
 
 # 10
@@ -116,3 +116,25 @@ def test_toxicity_threshold_is_that_of_all_labels(spark):
     assert abs(got[80][0] - 1 / 8) < 0.05  # probabilities of the labels' rate, not of the sample's
     assert got[80][3] > got[80][2] - 0.05  # the threshold is nearly the best for all labelled documents
     assert abs(got[80][1] - got[100_000][1]) < 120
+
+
+# 1
+
+
+def test_decontamination_in_passes_is_that_in_one(spark):
+    w = prose(77, 60, 3000).split()
+    clean = prose(78, 20, 3000)
+    bench = spark.createDataFrame([(1, " ".join(w[:30])), (2, " ".join(w[24:36])), (3, " ".join(w[50:60])), (4, " ".join([*clean.split()[:5], *clean.split()[-5:]])), (5, prose(79, 12, 3000))], "item_id long, text string")
+    rows = [(1, f"{clean} {' '.join(w[:45])} after"), (1, f"other {' '.join(w[26:60])} {clean}"), (1, f"{clean} {' '.join(w[:45])} after"), (2, " ".join(w[:36])), (3, " ".join([*clean.split()[:5], *w[:30], *clean.split()[-5:]])), (4, None), (5, clean), (None, " ".join(w[:36]) + " kept"), (6, "")]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars int")
+
+    def spans(**k):
+        return sorted((r.doc_id, r.start, r.end, r.n_words, tuple(r["items"])) for r in decontaminate.contamination(df, bench, **k).collect())
+
+    def cut(**k):
+        out = decontaminate.decontaminate(df, bench, **k)
+        assert out.dtypes == df.dtypes
+        return sorted(map(tuple, out.collect()), key=str)
+
+    assert len(spans()) == 6 and spans(items_at_once=1) == spans(items_at_once=2) == spans()
+    assert cut(items_at_once=1) == cut(items_at_once=2) == cut() and len(cut()) == 8
