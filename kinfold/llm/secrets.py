@@ -3,9 +3,9 @@
 A candidate is a run of at least 16 letters, digits and ``+ / _ -``, with ``=`` padding. Two second-order Markov models over
 its characters, one of random strings and one of ordinary identifiers, give a log-likelihood ratio, and a candidate is a
 secret where the ratio exceeds a threshold. Both are trained from labelled samples: generated keys of the common encodings,
-labelled random, and identifiers, paths, numbers and dates made from a word list, labelled ordinary, to which words of a
-bounded sample of documents are added (``sample_docs``), so that the languages of the corpus count as ordinary. The
-threshold is set on a held-out half of the samples.
+labelled random, and identifiers, paths, numbers and dates made from a word list, labelled ordinary, to which the words of all
+documents are added, so that the languages of the corpus count as ordinary. The threshold is set on a held-out half of the
+samples and of the corpus. Words of the corpus come to the driver as sums of trigrams and of ratios only, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .text import buffers
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 PLACEHOLDER = "[SECRET]"
@@ -104,39 +105,135 @@ def labelled(n: int = 6000, seed: int = 5) -> tuple[list[str], list[str]]:
     return secret, ordinary
 
 
-def fit(corpus_words: list[str], seed: int = 5, weight: float = 1.0) -> Model:
-    """Models and threshold from the labelled samples and ordinary words of the corpus; the latter count as ordinary however short."""
-    secret, ordinary = labelled(seed=seed)
-    joined = [a + b for a, b in zip(corpus_words[0::2], corpus_words[1::2]) if len(a + b) >= 16]  # words as long as candidates
-    held = [s for s in ordinary[1::2] + joined[1::2] if CANDIDATE.fullmatch(s)]
+def _counts(strings: list[str]) -> np.ndarray:
+    own = [s for s in strings if s]
+    return np.bincount(_contexts(own)[0], minlength=_S**3).astype(float) if own else np.zeros(_S**3)
+
+
+def _ratio(secret: np.ndarray, ordinary: np.ndarray, weight: float = 1.0) -> np.ndarray:
+    """Log ratios from the trigram counts of both kinds."""
     tables = []
-    for sample in (secret[0::2], ordinary[0::2] + joined[0::2] + corpus_words):
-        context, _ = _contexts([s for s in sample if s]) if sample else (np.zeros(0, np.int64), None)
-        three = np.bincount(context, minlength=_S**3).reshape(_S, _S, _S).astype(float)
+    for count in (secret, ordinary):
+        three = count.reshape(_S, _S, _S)
         two = three.sum(0)
         one = (two.sum(0) + 0.5) / (two.sum() + 0.5 * _S)
         p2 = (two + 8 * one) / (two.sum(1, keepdims=True) + 8)
         tables.append(np.log((three + 8 * weight * p2) / (three.sum(2, keepdims=True) + 8 * weight)))
-    ratio = (tables[0] - tables[1]).ravel()
-    model = Model(ratio, 0.0)
-    good, bad = np.sort(model.llr(held)), np.sort(model.llr(secret[1::2]))
-    # between what all but one in a thousand ordinary strings stay below and the weakest secrets, but never below even odds
-    top = good[min(len(good) - 1, int(len(good) * 0.999))]
+    return (tables[0] - tables[1]).ravel()
+
+
+def _threshold(good: np.ndarray, times: np.ndarray, bad: np.ndarray) -> float:
+    """Between what all but one in a thousand ordinary strings stay below and the weakest secrets, but never below even odds; times: how often each good ratio is."""
+    order, bad = np.argsort(good, kind="stable"), np.sort(bad)
+    reach = np.cumsum(times[order])
+    top = good[order][min(len(good) - 1, int(np.searchsorted(reach, 0.999 * reach[-1], side="right")))]
     low = bad[int(len(bad) * 0.01)]
-    return Model(ratio, float(max(0.0, top if low <= top else (top + low) / 2)))
+    return float(max(0.0, top if low <= top else (top + low) / 2))
 
 
-_PLAIN = re.compile(r"[A-Za-z]{4,}")
+def fit(corpus_words: list[str], seed: int = 5, weight: float = 1.0) -> Model:
+    """Models and threshold from the labelled samples and ordinary words of the corpus; the latter count as ordinary however short."""
+    secret, ordinary = labelled(seed=seed)
+    joined = [a + b for a, b in zip(corpus_words[0::2], corpus_words[1::2]) if len(a + b) >= 16]  # words as long as candidates
+    model = Model(_ratio(_counts(secret[0::2]), _counts(ordinary[0::2] + joined[0::2] + corpus_words), weight), 0.0)
+    good = model.llr([s for s in ordinary[1::2] + joined[1::2] if CANDIDATE.fullmatch(s)])
+    return model._replace(threshold=_threshold(good, np.ones(len(good)), model.llr(secret[1::2])))
+
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+#: Beside these, letters are part of a longer string, often of a secret, which must not teach its own trigrams as ordinary.
+_JOINT = np.zeros(256, bool)
+_JOINT[np.frombuffer(b"0123456789+=", np.uint8)] = True
+#: Ratios of held-out strings of the corpus are counted in steps of 1 / _LEVELS; those below 0, which no threshold is, as one.
+_LEVELS, _MOST = 64, 1 << 16
 
-def train(docs: DataFrame, *, sample_docs: int = 400, words_each: int = 200, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Models for docs: the ``sample_docs`` documents with the smallest id hashes give up to ``words_each`` distinct words of letters each, taken evenly."""
-    picked = common.texts(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").select(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), 0).alias("w")).limit(sample_docs)
-    found: list[str] = []
-    for row in picked.select(F.array_distinct("w").alias("w")).collect():
-        own = row.w or []
-        found += own[:: max(1, len(own) // words_each)][:words_each]
-    return fit(found)
+
+def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of 4 letters or more of a column that no digit, + or = adjoins, one behind the other: (codes, where words begin, begin and end of the pairs as long as candidates, which of these are held out).
+
+    A pair is every other word of a text with the next; every other pair of a text is held out.
+    """
+    data, rows = buffers(column)
+    letter = _LETTER[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[rows] = True
+    start = np.flatnonzero(letter & (~np.concatenate([[False], letter[:-1]]) | edge[:-1]))
+    end = np.flatnonzero(letter & (~np.concatenate([letter[1:], [False]]) | edge[1:])) + 1
+    joint = _JOINT[data]
+    after = np.concatenate([joint, [False]])[end] & ~edge[end]
+    long = (end - start >= 4) & ~after & ~(np.concatenate([[False], joint])[start] & ~edge[start])
+    start, size = start[long], (end - start)[long]
+    at = np.concatenate([[0], np.cumsum(size)])
+    codes = _CODE[data[np.arange(at[-1]) + np.repeat(start - at[:-1], size)]]
+    doc = np.searchsorted(start, rows)
+    place = np.arange(len(start)) - np.repeat(doc[:-1], np.diff(doc))
+    last = np.zeros(len(start), bool)
+    last[doc[1:][np.diff(doc) > 0] - 1] = True
+    first = np.flatnonzero((place % 2 == 0) & ~last)
+    first = first[at[first + 2] - at[first] >= 16]
+    return codes, at[:-1], at[first], at[first + 2], place[first] // 2 % 2 == 1
+
+
+def _trigrams(codes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The trigram at each character of strings that begin at start, of 2 characters at least."""
+    one, two = np.roll(codes, 1), np.roll(codes, 2)
+    one[start] = two[start] = two[start + 1] = 0
+    return (two * _S + one) * _S + codes
+
+
+def _inside(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size = end - begin
+    return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+
+
+def train(docs: DataFrame, *, mass: int = 80_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Models for docs: the words of 4 letters or more of all documents are ordinary, each as often as it is there.
+
+    All words together weigh as much as ``mass`` words beside the labelled samples, or their own number if they are fewer, in the
+    model as in the threshold, so neither depends on the size of the corpus. Rows without an id are left out.
+    """
+    source = common.texts(docs, id_col, text_col)
+
+    def summed(own, schema: str = "k int, n long") -> dict[int, int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(0, np.int64)
+            for batch in batches:
+                for part in common.slices(batch, "text"):
+                    n = own(part.column("text"))
+                    total = n + np.pad(total, (0, len(n) - len(total))) if len(n) > len(total) else total + np.pad(n, (0, len(total) - len(n)))
+            k = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["k", "n"])
+
+        found = source.mapInArrow(run, schema).groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        return dict(zip(found.column("k").to_pylist(), found.column("n").to_pylist()))
+
+    def trigrams(column: pa.Array) -> np.ndarray:
+        codes, start, begin, end, held = _plain(column)
+        n = np.bincount(_trigrams(codes, start), minlength=_S**3 + 1) + np.bincount(_trigrams(codes, begin)[_inside(begin[~held], end[~held])], minlength=_S**3 + 1)
+        n[_S**3] = len(start)
+        return n
+
+    count = np.zeros(_S**3 + 1)
+    for k, n in summed(trigrams).items():
+        count[k] = n
+    share = min(1.0, mass / max(1.0, count[-1]))
+    secret, ordinary = labelled()
+    model = Model(_ratio(_counts(secret[0::2]), _counts(ordinary[0::2]) + share * count[:-1]), 0.0)
+
+    def levels(column: pa.Array) -> np.ndarray:
+        codes, _, begin, end, held = _plain(column)
+        begin, size = begin[held], (end - begin)[held]
+        if not len(begin):
+            return np.zeros(0, np.int64)
+        llr = np.add.reduceat(model.ratio[_trigrams(codes, begin)[_inside(begin, begin + size)]], np.cumsum(size) - size)
+        return np.bincount(np.clip(np.floor(llr * _LEVELS) + 1, 0, _MOST).astype(np.int64))
+
+    found = summed(levels)
+    good = model.llr([s for s in ordinary[1::2] if CANDIDATE.fullmatch(s)])
+    times = np.concatenate([np.ones(len(good)), share * np.array(list(found.values()), float)])
+    good = np.concatenate([good, np.array(list(found), float) / _LEVELS])
+    return model._replace(threshold=_threshold(good, times, model.llr(secret[1::2])))
 
 
 def _scan(column: pa.Array, model: Model) -> tuple[list[int], list[int], list[int], np.ndarray]:

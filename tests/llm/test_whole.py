@@ -2,13 +2,15 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from kinfold.llm import common, decontaminate, katz, packing, queries, token_counts, toxicity
+from kinfold.llm import common, decontaminate, katz, packing, queries, secrets, token_counts, toxicity
 from tests.llm.test_operators import docs, none, prose, texts, valid_packing, words  # noqa: F401
 
 # 10
@@ -138,3 +140,26 @@ def test_decontamination_in_passes_is_that_in_one(spark):
 
     assert len(spans()) == 6 and spans(items_at_once=1) == spans(items_at_once=2) == spans()
     assert cut(items_at_once=1) == cut(items_at_once=2) == cut() and len(cut()) == 8
+
+
+# 7
+
+
+def test_secret_model_reads_every_document(spark):
+    rare = ["Xqzwjvkpxqzw", "jvqxzkwpqxzj"]
+    rows = [(i, prose(i, 30, 3000)) for i in range(1500)] + [(5000 + i, " ".join(rare * 40)) for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, "left out"), (1, None)], "doc_id long, text string").repartition(4)
+    model, without = secrets.train(df), secrets.train(df.where("doc_id < 5000"))
+    long = ["".join(rare), "".join(rare[::-1])]
+    assert (without.llr(long) > without.threshold).all() and (model.llr(long) <= model.threshold).all()
+    held_secret, _ = secrets.labelled(n=1000, seed=77)
+    assert (model.llr(held_secret) > model.threshold).mean() > 0.97
+    # the words and pairs are those of a plain reading
+    texts_ = ["Some wordsareverylong indeedtheyare ab, four", "", None, "one two extraordinarily UNCOMMONwords third fourth fifthword1sixthword"]
+    codes, start, begin, end, held = secrets._plain(pa.array(texts_))
+    plain = [[w for w in re.findall("(?<![A-Za-z0-9+=])[A-Za-z]{4,}(?![A-Za-z0-9+=])", t or "")] for t in texts_]
+    flat = [w for own in plain for w in own]
+    assert [secrets._ALPHABET[c - 1] for c in codes] == list("".join(flat)) and len(start) == len(flat)
+    pairs = [(a + b, k % 2 == 1) for own in plain for k, (a, b) in enumerate(zip(own[0::2], own[1::2])) if len(a + b) >= 16]
+    assert [("".join(secrets._ALPHABET[c - 1] for c in codes[a:b]), bool(h)) for a, b, h in zip(begin, end, held)] == pairs
+    assert secrets._trigrams(codes, start).tolist() == secrets._contexts(flat)[0].tolist()
