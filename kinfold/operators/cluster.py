@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections import defaultdict
 
 import pyarrow as pa
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..schemas import conform
+from ..storage import written
 
 _EPSILON = 1e-12
 
@@ -24,21 +22,9 @@ def signed_weight(score: Column, threshold: float) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.when(score >= threshold, up).otherwise(down)))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df in a table of the shared folder: its lineage ends there."""
-    session = df.sparkSession
-    folder = session.conf.get("spark.checkpoint.dir", None) or session.conf.get("kinfold.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        session.conf.set("kinfold.checkpoint.dir", folder)
-    path = os.path.join(folder, f"step-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return session.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of undirected edges a, b, by alternating stars; each round is written to the shared folder."""
-    e = _written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -46,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = _written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -128,7 +114,7 @@ def cluster_stats(eligible: DataFrame, assignment: DataFrame, config: Config) ->
 
 def cluster_pairs(finalized: DataFrame, removed: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     active = finalized.join(removed.select("pair_key"), "pair_key", "left_anti")
-    return cluster_stats(active.where("review_eligible"), _written(correlation_clusters(active, config)), config)
+    return cluster_stats(active.where("review_eligible"), written(correlation_clusters(active, config)), config)
 
 
 def eligible(finalized: DataFrame, config: Config) -> Column:

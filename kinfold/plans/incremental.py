@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import block, clean, cluster, mitigate, score
-from ..operators.cluster import _written
+from ..storage import written
 from ..schemas import ensure_frame
 
 
@@ -28,22 +28,22 @@ def run_incremental(
     progress("clean")
     orgs = clean.clean_entities(ensure_frame(spark, organizations, "entity"), "organization", config.strict)
     svcs = clean.clean_entities(ensure_frame(spark, services, "entity"), "service", config.strict)
-    entities = _written(orgs.unionByName(svcs, allowMissingColumns=True))
+    entities = written(orgs.unionByName(svcs, allowMissingColumns=True))
     index = clean.entity_index(entities)
     changed, removed_entities = clean.classify(index, ensure_frame(spark, previous_index, "entity_index"))
-    changed = _written(changed)
+    changed = written(changed)
     delta = clean.delta_summary(changed, removed_entities)
     everything = explicit_backfill or force_rescore
     no_change = bool(delta.first().no_change)
     progress("block")
-    candidates = _written(block.candidates(entities, changed, config.blocking, everything, plan))
+    candidates = written(block.candidates(entities, changed, config.blocking, everything, plan))
     progress("score")
     scored, reasons = score.score_candidates(candidates, entities, config, scorer)
-    scored, reasons = _written(scored), _written(reasons)
+    scored, reasons = written(scored), written(reasons)
     moved = changed.where("delta_class in ('added', 'changed')").select("entity_id").unionByName(removed_entities.select("entity_id"))
     progress("mitigate")
     m = mitigate.apply_mitigation(scored, reasons, removed_entities, ensure_frame(spark, previous_state, "pair_state"), config, None if everything else moved, scope_removed, no_change)
-    finalized, removed = _written(m.finalized), _written(m.removed)
+    finalized, removed = written(m.finalized), written(m.removed)
     progress("cluster")
     clusters, pairs = cluster.cluster_pairs(finalized, removed, config)
     progress("queue")

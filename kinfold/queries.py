@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .functions import domain, features, fuzzy, taxonomy, text
 from .operators import block, clean, cluster, mitigate, score, training
-from .operators.cluster import _written
+from .storage import written
 from .plans.incremental import run_incremental, run_summary
 from .schemas import empty
 from .sources.testbed import WITH, WITH_PAIRS, entities, flat_entities, table
@@ -207,7 +207,7 @@ def _entities(spark, d):
 
 
 def _candidates(spark, d, plan="gate"):
-    e = _written(_entities(spark, d))
+    e = written(_entities(spark, d))
     return block.candidates(e, e.select("entity_id", "entity_type", F.lit("added").alias("delta_class")), _config().blocking, plan=plan), e
 
 
@@ -227,7 +227,7 @@ def cosine_first_pairs(spark, d):
 @query(WITH + """, s AS (SELECT a.id AS anchor, b.id AS other, list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) AS sim FROM ent a JOIN ent b ON a.id <> b.id WHERE list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= 0.75),
 r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(sim, 6) DESC, other) AS rank FROM s) SELECT anchor, other, rank FROM r WHERE rank <= 1""")
 def cosine_topk(spark, d):
-    e = _written(_entities(spark, d))
+    e = written(_entities(spark, d))
     near = block.cosine_first(e, e, 0.75).withColumn("similarity", F.round("similarity", 6))
     return block.top_k(near, 1).select("anchor", "other", F.col("rank").cast("long").alias("rank"))
 
@@ -236,9 +236,9 @@ def cosine_topk(spark, d):
 kept AS (SELECT x AS anchor, count(*) AS n FROM (SELECT a AS x FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY 1)
 SELECT (SELECT count(*) FROM ent) AS anchors, (SELECT count(*) FROM kept) AS anchors_with_candidates, (SELECT sum(n)::BIGINT FROM above) AS pairs_above_threshold, (SELECT sum(n)::BIGINT FROM kept) AS pairs_kept""")
 def blocking_overview(spark, d):
-    e = _written(_entities(spark, d))
+    e = written(_entities(spark, d))
     b = _config().blocking
-    return block.overview(_written(block.cosine_first(e, e, b.similarity_threshold)), block.gate_first(e, e, b), e, b.max_candidates).select("anchors", "anchors_with_candidates", "pairs_above_threshold", "pairs_kept")
+    return block.overview(written(block.cosine_first(e, e, b.similarity_threshold)), block.gate_first(e, e, b), e, b.max_candidates).select("anchors", "anchors_with_candidates", "pairs_above_threshold", "pairs_kept")
 
 
 _DET = "(0.16 * same_email::INT + 0.22 * same_phone::INT + 0.04 * same_host::INT + 0.12 * tax + 0.34 * same_place::INT) / 0.88"
@@ -249,8 +249,8 @@ tiered AS (SELECT *, CASE WHEN final >= 0.7 THEN 'duplicate' WHEN final >= 0.62
 
 def _scored(spark, d):
     c, e = _candidates(spark, d)
-    s, r = score.score_candidates(_written(c), e, _config())
-    return _written(s), _written(r)
+    s, r = score.score_candidates(written(c), e, _config())
+    return written(s), written(r)
 
 
 @query(_SCORED + " SELECT a, b, round(det, 9) AS det FROM tiered")
