@@ -6,8 +6,10 @@ direction, B^m in all. List decoding finds all exceeding directions of a vector
 leaving out what can't reach alpha any more. Similar vectors share filters; pairs within a filter are checked against
 vectors of 8-bit numbers, with a margin that loses none, then exactly.
 
-alpha and B follow from the number of vectors: a pair at the threshold shares ``shared`` filters on average, and a vector
-meets about ``strangers`` unrelated vectors in all of its filters, as far as the code can be that fine.
+Several codes, each with a rotation of its own, share the filters: under one alone, a vector whose parts in the blocks are of very
+unequal length would be in few filters or none. alpha and B follow from the number of vectors: a pair at the threshold shares
+``shared`` filters on average, and a vector meets about ``strangers`` unrelated vectors in all of its filters, as far as the codes
+can be that fine.
 """
 
 from __future__ import annotations
@@ -59,7 +61,18 @@ def parameters(n: int, d: int, t: float, shared: float = 20.0, strangers: float
     return best
 
 
+def codes(n: int, d: int, t: float, *, rotations: int = 4, shared: float = 20.0, strangers: float = 64.0) -> list[Code]:
+    return [code(n, d, t, seed=17 + k, shared=shared / rotations, strangers=strangers / rotations) for k in range(rotations)]
+
+
+def decode_all(v: np.ndarray, own: list[Code]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all filters of all codes that a row of v is in."""
+    found = [decode(v, c) for c in own]
+    return np.concatenate([row for row, _ in found]), np.concatenate([number * len(own) + k for k, (_, number) in enumerate(found)])
+
+
 def code(n: int, d: int, t: float, seed: int = 17, **options: float) -> Code:
+    """A code with as many directions as the options ask for."""
     alpha, many = parameters(n, d, t, **options)
     m = 1 if d < 4 or many <= 64 else 2 if many <= 2**22 or d < 12 else 3
     size = max(1, math.ceil(many ** (1 / m)))
@@ -110,6 +123,16 @@ def _unit(lists: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], v[good] / norm[good, None]
 
 
+def _read(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """(distinct id, v and h, the hash of v, null where v can't be compared; the dimension, 0 if there is none)."""
+    own = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).distinct()
+    sizes = own.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    d = int(sizes.d) if sizes else 0
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    usable = (F.size("v") == d) & length.isNotNull() & ~F.isnan(length) & (length > 0) & (length < float("inf"))
+    return common.written(own.withColumn("h", F.when(F.lit(d > 0) & usable, F.xxhash64("v"))), "vectors"), d
+
+
 def near_pairs(vectors: DataFrame, *, t: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", shared: float = 20.0, strangers: float = 64.0) -> DataFrame:
     """id_a < id_b and cosine (rounded to 6 places) of pairs of vectors whose cosine is at least t; recall is approximate.
 
@@ -117,15 +140,33 @@ def near_pairs(vectors: DataFrame, *, t: float = 0.9, id_col: str = "vec_id", ve
     another dimension are near none; rows that repeat count once; an id with several vectors is near where any of them is, by
     the nearest; rows without an id are skipped; an empty table gives no rows; other columns are not read.
     """
-    spark = vectors.sparkSession
-    own = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).distinct()
-    sizes = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "id_a long, id_b long, cosine double"
-    if sizes is None or sizes.d < 1:
+    own, d = _read(vectors, id_col, vector_col)
+    found = _near(own.where("h is not null"), d, t, shared, strangers).where("id_a <> id_b")
+    return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "cosine").groupBy("id_a", "id_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+
+
+def near_classes(vectors: DataFrame, *, t: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", shared: float = 20.0, strangers: float = 64.0) -> DataFrame:
+    """id_col, class_id and n_links of each vector: the least id among the vectors that links connect, and the number of vectors with a cosine of at least t.
+
+    Equal vectors are one node, whose links count as often as it has rows, so copies are never paired; links between different
+    vectors are those of :func:`near_pairs`. Vectors that can't be compared (null, zero, not finite, of another dimension than most) are
+    a class of their own. Rows that repeat count once; different vectors of one id have a row each, which links may connect; rows without an
+    id are skipped; an empty table gives no rows; other columns are not read.
+    """
+    own, d = _read(vectors, id_col, vector_col)
+    nodes = own.where("h is not null").groupBy("h").agg(F.first("v").alias("v")).select(F.col("h").alias("id"), "v", "h")
+    links = common.written(_near(nodes, d, t, shared, strangers).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "links")
+    return common.classes(own.select(F.col("id").alias(id_col), F.col("h").alias("node")), links, id_col)
+
+
+def _near(own: DataFrame, d: int, t: float, shared: float, strangers: float) -> DataFrame:
+    """id_a, id_b and cosine of near rows of own (id, v, h) with different ids, each pair of rows once."""
+    spark, parts, schema = own.sparkSession, common.partitions(own.sparkSession), "id_a long, id_b long, cosine double"
+    own = common.written(own, "nodes")
+    n = own.count()
+    if not n:
         return spark.createDataFrame([], schema)
-    d, n, parts = int(sizes.d), int(sizes["count"]), common.partitions(spark)
-    own = common.written(own.where(F.size("v") == d).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))).withColumn("h", F.xxhash64("v")), "vectors")
-    c = code(n, d, t, shared=shared, strangers=strangers)
+    own_codes = codes(n, d, t, shared=shared, strangers=strangers)
     margin = math.sqrt(d) / 127 + d / 4 / 127**2  # two rounding errors of half a 127th in each place
 
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +177,7 @@ def near_pairs(vectors: DataFrame, *, t: float = 0.9, id_col: str = "vec_id", ve
                 if not len(at):
                     continue
                 key, h = part.column("id").to_numpy()[at], part.column("h").to_numpy()[at]
-                row, number = decode(v, c)
+                row, number = decode_all(v, own_codes)
                 to = (mix(number) % np.uint64(parts)).astype(np.int64)
                 if len(row):
                     b = common.packed(parts, to.astype(np.uint64), [number, key[row], h[row]])
@@ -200,4 +241,4 @@ def near_pairs(vectors: DataFrame, *, t: float = 0.9, id_col: str = "vec_id", ve
                 hit = cosine >= t
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[hit]), pa.array(np.maximum(a, b)[hit]), pa.array(cosine[hit])], ["id_a", "id_b", "cosine"])
 
-    return joined.mapInArrow(exact, schema).groupBy("id_a", "id_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+    return joined.mapInArrow(exact, schema)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..operators.cluster import components
+
 #: Bytes of text that a vectorised step holds at a time; a single longer text is held alone.
 SLICE_BYTES = 4 << 20
 
@@ -20,20 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, a single machine), one in the temporary folder, which is then set for the session."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("kinfold.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="kinfold-")
-        spark.conf.set("kinfold.checkpoint.dir", path)
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to a table of the shared folder and read again: its lineage ends there, and losing executors loses nothing."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return storage.written(df, name)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -83,24 +74,33 @@ def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(bad, F.col(id_col).cast("long") == F.col(key), "left_anti")
 
 
-def with_text(docs: DataFrame, changed: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with ``changed.new_text`` in place of the text where ``changed`` has the id, and its length in length_col, if there is one.
+#: Nodes with more than this share of all members are looked up apart; there are fewer than so many of them.
+_HOT = 64
+
+
+def classes(members: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """id_col, class_id and n_links of each row of members (id_col, node), where links (a, b) join similar nodes, each pair once.
 
-    ``changed`` has one row for each id that changes and is joined on (doc_id, old_text): rows that share an id keep their own texts.
+    class_id is the least id in the connected component of the node, n_links the number of other members of the node and of all
+    members of linked nodes. A null node has no links. Nodes that hold a large share of all members don't meet in one task.
     """
-    tag = uuid.uuid4().hex[:8]
-    key, old, new = f"__id_{tag}", f"__old_{tag}", f"__new_{tag}"
-    c = changed.select(F.col("doc_id").alias(key), F.col("old_hash").alias(old), F.col("new_text").alias(new))
-    j = docs.join(c, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(old)), "left")
-
-    def pick(name: str) -> Column:
-        if name == text_col:
-            return F.coalesce(F.col(new), F.col(text_col)).alias(name)
-        if name == length_col:
-            return F.when(F.col(new).isNotNull(), F.length(F.col(new))).otherwise(F.col(name)).cast(docs.schema[name].dataType).alias(name)
-        return F.col(f"`{name}`")
-
-    return j.select(*[pick(c) for c in docs.columns])
+    nodes = members.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min(id_col).alias("least"))
+    nodes = written(nodes, "nodes")
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = ends.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked"))
+    roots = components(links.select("a", "b"))
+    own = nodes.join(linked.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left").where("n > 1 or linked is not null")
+    own = own.select("node", "least", F.coalesce("component", "node").alias("root"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "n")
+    first = own.groupBy("root").agg(F.min("least").alias("class_id"))
+    known = written(own.join(first, "root").select("node", "class_id", "n_links", "n"), "classes")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = known.where(F.col("n") * _HOT > total).drop("n")  # fewer than _HOT rows
+    given = members.where("node is not null")
+    apart = given.join(F.broadcast(hot), "node").select(id_col, "class_id", "n_links")
+    rest = given.join(F.broadcast(hot.select("node")), "node", "left_anti").join(known.drop("n"), "node", "left")
+    rest = rest.select(id_col, F.coalesce("class_id", id_col).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    none = members.where("node is null").select(id_col, F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return apart.unionByName(rest).unionByName(none)
 
 
 #: Rows of arrays that are sent to a partition together, see :func:`packed`.

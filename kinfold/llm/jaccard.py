@@ -11,7 +11,8 @@ The n-grams of a text form a set; all pairs of texts are wanted whose sets have
 3. Common prefix n-grams of a pair are counted over the cluster; pairs with l of them are candidates. Each set of a pair goes to
    the partition where the pair is verified, once, first by the suffix filter (the parts of both sets in fixed ranges of hashes bound their overlap), then exactly.
 
-Equal sets have equal fingerprints and are one set throughout; pairs are spread over their documents at the end.
+Equal sets have equal fingerprints and are one set throughout; :func:`classes` counts their documents, only :func:`pairs` spreads
+pairs over them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cluster import components
 from . import common
 from .text import grams, mix, words
 
@@ -294,7 +296,7 @@ def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
 def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs a, b, jaccard of fingerprints of similar sets; members doc_id, fp), both written tables.
 
-    Texts without words have no set and are in neither.
+    Texts without words have no set: their fp is null, and they are in no pair.
     """
     source = common.texts(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -304,9 +306,10 @@ def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "
     def fingerprint(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, g, at = _sets(batch.column("text"), n)
         fp, full = _fingerprints(row, g, at), np.diff(at) > 0
-        return pa.RecordBatch.from_arrays([pa.array(common.ids(batch)[full]), pa.array(fp[full])], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, mask=~full)], ["doc_id", "fp"])
 
-    members = common.written(source.mapInArrow(common.over_slices(fingerprint), "doc_id long, fp long").distinct(), "members")
+    every = common.written(source.mapInArrow(common.over_slices(fingerprint), "doc_id long, fp long").distinct(), "members")
+    members = every.where("fp is not null")
     entries = source.mapInArrow(_prefixes(levels, n, t, parts), "part int, n long, entries binary")
     found = entries.repartitionById(parts, F.col("part")).mapInArrow(_join(t, parts), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_count, "a long, b array<long>")
     candidates = common.written(found, "candidates")
@@ -330,7 +333,7 @@ def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "
     shipped = squeezed.join(needed, "doc_id").select("k", F.col("fp").alias("a"), F.array("size").alias("b"), "text")
     work = shipped.unionByName(placed.select("k", "a", "b", F.lit(None).cast("binary").alias("text")))
     pairs = work.repartition(parts, "k").select("a", "b", "text").mapInArrow(_verify(n, t), "a long, b long, jaccard double")
-    return common.written(pairs, "similar"), members
+    return common.written(pairs, "similar"), every
 
 
 def pairs(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,6 +344,7 @@ def pairs(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id"
     skipped; an empty table gives no rows; other columns are not read.
     """
     similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col)
+    members = members.where("fp is not null")
     a, b = members.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("fp").alias("b"), F.col("doc_id").alias("y"))
     apart = similar.join(a, "a").join(b, "b").select("x", "y", "jaccard")
     alike = a.join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
@@ -351,21 +355,16 @@ def pairs(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id"
     return every.select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the least node of the connected component of each node that has an edge, by alternating large and small stars."""
-    e = common.written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    sums: tuple | None = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = common.written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == sums:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        sums = now
+def classes(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id and n_links of each document: the least id among the documents that links connect, and the number of documents with a similarity of at least t.
+
+    Copies are counted, not paired: equal sets are one node, and a link to it counts as often as it has documents. Documents without
+    a link, null texts and those without words are a class of their own. Rows that repeat count once; texts of one id with
+    different sets are documents of their own, with a row each, which links may connect; very long texts are compared whole; rows
+    without an id are skipped; an empty table gives no rows; other columns are not read.
+    """
+    similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col)
+    return common.classes(members.withColumnRenamed("fp", "node"), similar, "doc_id")
 
 
 def deduplicate(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,8 +373,8 @@ def deduplicate(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "d
     Texts without words, null texts and rows without an id stay; so do rows that share the id that stays.
     """
     similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col)
-    roots = components(similar)
-    grouped = members.join(roots, members.fp == roots.node, "left").select("doc_id", F.coalesce("root", "fp").alias("g"))
+    members, roots = members.where("fp is not null"), components(similar)
+    grouped = members.join(roots, members.fp == roots.node, "left").select("doc_id", F.coalesce("component", "fp").alias("g"))
     first = grouped.groupBy("g").agg(F.min("doc_id").alias("keep"))
     gone = grouped.join(first, "g").groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("keep"), 1).otherwise(0)).alias("kept")).where("kept = 0").select("doc_id")
     return common.without(docs, common.written(gone, "duplicates"), id_col)

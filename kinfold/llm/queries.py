@@ -19,6 +19,12 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+#: Classes and numbers of links from pairs p.
+_CLASSES = """e AS MATERIALIZED (SELECT {a} AS a, {b} AS b FROM p UNION ALL SELECT {b}, {a} FROM p),
+r(id, root) AS (SELECT DISTINCT {id}, {id} FROM {table} UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT id AS {id}, min(root) AS class_id, coalesce(any_value(n), 0) AS n_links FROM r LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) ON a = id GROUP BY 1"""
+
+
 @_query
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -53,18 +59,17 @@ def op9_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.pairs(table(spark, sf_dir, "documents"))
+    return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
 SQL["op5_ngram_jaccard_join"] = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
                                           WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 6) AS jaccard
-FROM o JOIN s AS x ON x.doc_id = doc_a JOIN s AS y ON y.doc_id = doc_b
-WHERE c / (x.n + y.n - c) >= 0.5"""
+o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT doc_a, doc_b FROM o JOIN s AS x ON x.doc_id = doc_a JOIN s AS y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= 0.5),
+{_CLASSES.format(id="doc_id", table="documents", a="doc_a", b="doc_b")}"""
 
 
 @_query
@@ -88,10 +93,10 @@ def op4_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return caps.near_pairs(table(spark, sf_dir, "embeddings"))
+    return caps.near_classes(table(spark, sf_dir, "embeddings"))
 
 
-SQL["op8_embedding_near_dedup"] = """
-SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
-FROM embeddings AS a JOIN embeddings AS b ON a.vec_id < b.vec_id
-WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9"""
+SQL["op8_embedding_near_dedup"] = f"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS id_a, b.vec_id AS id_b FROM embeddings AS a JOIN embeddings AS b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9),
+{_CLASSES.format(id="vec_id", table="embeddings", a="id_a", b="id_b")}"""

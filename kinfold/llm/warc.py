@@ -19,6 +19,7 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from . import common
 
 INDEX = pa.schema([("record", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("inflated", pa.int64()), ("crc32", pa.int64()), ("kind", pa.string()), ("record_id", pa.string()), ("url", pa.string())])
@@ -193,6 +194,6 @@ def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
     """
     import uuid
 
-    folder = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = f"{storage.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     paths = [r.path for r in write_monolithic(pages, f"{folder}/raw", **options).select("path").toLocalIterator()]
     return normalise_all(spark, sorted(paths), f"{folder}/members")

@@ -275,10 +275,32 @@ def test_jaccard_at_every_size(spark):
     assert got == want
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 3)]
-    got = dict(jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+def classes_by_force(rows, similar):
+    """(id, least id of the class, number of links) of rows (id, value), each a node; similar says whether two values are."""
+    links = [[j for j, y in enumerate(rows) if j != i and similar(x[1], y[1])] for i, x in enumerate(rows)]
+    root = list(range(len(rows)))
+    while any(root[j] < root[i] for i in range(len(rows)) for j in links[i]):
+        root = [min([root[i], *(root[j] for j in links[i])]) for i in range(len(rows))]
+    least = {r: min(x[0] for k, x in enumerate(rows) if root[k] == r) for r in root}
+    return sorted((x[0], least[root[i]], len(links[i])) for i, x in enumerate(rows))
+
+
+def alike(a, b, t=0.5):
+    return bool(a and b) and len(a & b) / len(a | b) >= t
+
+
+def test_jaccard_classes(spark, docs, none, texts):
+    rows = sorted({(i, frozenset(gram_set(t))) for i, t in texts if i is not None}, key=str)
+    got = sorted(tuple(r) for r in jaccard.classes(docs).collect())
+    assert got == classes_by_force(rows, alike) and (20, 0, 2) in got and (24, 24, 0) in got and (28, 27, 1) in got
+    assert jaccard.classes(none).count() == 0
+    # a hot text, different texts of one id, chains of near copies, an id that clashes with the inner names
+    base = [f"w{k}" for k in range(40)]
+    chain = [(100 + k, " ".join(base[k * 4 : 20 + k * 4])) for k in range(6)]
+    more = [(k, "the same text in a third of all rows") for k in range(30)] + chain + [(100, "the same text in a third of all rows"), (7, None), (200, "x" * 300_000 + " y z"), (201, "x" * 300_000 + " y z"), (202, ""), (None, "the same text in a third of all rows")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in more], "id long, body string, node long, n long, class_id long")
+    got = sorted(tuple(r) for r in jaccard.classes(df, id_col="id", text_col="body").collect())
+    assert got == classes_by_force(sorted({(i, frozenset(gram_set(t))) for i, t in more if i is not None}, key=str), alike)
 
 
 # 6
@@ -371,6 +393,21 @@ def test_near_pairs(spark):
     assert caps.near_pairs(df.limit(0)).count() == 0
 
 
+def test_near_classes(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((300, 24))
+    x[200:260] = x[:60] + 0.1 * r.standard_normal((60, 24))  # near
+    x[260:290] = x[0]  # a hot vector, equal
+    x[290:] = x[200] + 0.1 * r.standard_normal((10, 24))  # linked through another
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(0, x[0].tolist(), 1), (0, x[299].tolist(), 1), (901, None, 1), (902, [0.0] * 24, 1), (903, [1.0] * 5, 1), (904, [float("nan")] * 24, 1), (905, [float("inf")] * 24, 1), (906, [], 1), (None, x[0].tolist(), 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, node int")
+    own = {i: v for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))}
+    nodes = [(i, v) for i, v in own.items()] + [(0, own[299])] + [(k, None) for k in range(901, 907)]
+    want = classes_by_force(nodes, lambda a, b: a is not None and b is not None and a @ b >= 0.9 - 1e-12)
+    assert sorted(tuple(r) for r in caps.near_classes(df, id_col="id", vector_col="v").collect()) == want
+    assert caps.near_classes(df.limit(0), id_col="id", vector_col="v").count() == 0
+
+
 def test_list_decoding_finds_all():
     r = np.random.default_rng(8)
     c = caps.code(3000, 24, 0.8)
