@@ -13,6 +13,7 @@ The line break itself belongs to the section that it ends.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,26 +40,23 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
 
 
-#: Texts are encoded in parts of about so many characters, cut where the pattern can't join what is on both sides.
+#: Texts are encoded in parts of about so many characters, cut where the pattern can't join what is on both sides: before a
+#: space or line break that follows a character that isn't white space.
 _PART = 1 << 16
+_CUT = re.compile(r"(?<=\S)[ \n]")
 
 
 def encode(text: str, path: str) -> np.ndarray:
     """Bytes of each token of the whole text.
 
-    A long text is encoded part by part, each of which ends with a line break before a character that isn't white space: there
-    a token always ends, so the tokens are those of the whole text at once.
+    A long text is encoded part by part. No token holds white space behind another character, and what the pattern looks ahead to is
+    white space's successor only, so the tokens are those of the whole text at once; a run without such a place is encoded whole.
     """
     encoding, size = encoder(path)
     out, lo = [], 0
     while lo < len(text):
-        hi = lo + _PART
-        if hi < len(text):
-            hi = text.find("\n", hi) + 1
-            while 0 < hi < len(text) and text[hi].isspace():
-                hi = text.find("\n", hi + 1) + 1
-        if hi <= 0 or hi > len(text):
-            hi = len(text)
+        cut = _CUT.search(text, lo + _PART)
+        hi = cut.start() if cut else len(text)
         out.append(size[encoding.encode_ordinary(text[lo:hi])])
         lo = hi
     return np.concatenate(out) if out else np.zeros(0, np.int64)
@@ -89,7 +87,8 @@ def section_tokens(docs: DataFrame, *, rule: str = "most", vocabulary: str = VOC
 
     Empty and null texts have one empty section; so have empty lines, which hold their line break; a line break at the end of a
     text begins no further section. Rows that repeat, or share an id, give their sections each; rows without an id are skipped;
-    an empty table gives no rows; other columns are not read.
+    an empty table gives no rows; other columns are not read. Very long texts are encoded part by part with the tokens of the
+    whole; of sections with equally many bytes of a token, rule "most" takes the earlier.
     """
     if rule not in ("first", "most", "share"):
         raise ValueError(f"no such rule: {rule}")
