@@ -5,8 +5,9 @@ needed for that, only those at anchors: of each L consecutive words the last of
 Whichever passage of L words occurs twice has its anchor at the same place both times.
 
 1. Anchors go to the partition of their k words' hash with a hash of their context, the words that passages around them can
-   reach. An anchor whose context occurs twice is settled: all passages around it repeat. Where only the k words occur twice,
-   one anchor of each context is asked for its words.
+   reach. Equal contexts are one suffix, however many copies have it, so no group of copies meets in the sort: an anchor whose
+   context occurs twice is settled by that equality of 64-bit hashes, since all passages around it repeat. Where the k words occur
+   in different contexts, one anchor of each is asked for its words.
 2. The suffixes at those anchors are sorted: multikey quicksort orders them by their first words down to a shallow depth, for
    all groups at once; blind tries order each group that still ties, and give the longest common prefixes. Passages around
    two anchors are equal where a common prefix and the words before both suffice.
@@ -58,6 +59,11 @@ def anchors(w: Words, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
+def _width(length: int) -> type:
+    """The least type that holds numbers of words up to length."""
+    return np.uint8 if length < 1 << 8 else np.uint16 if length < 1 << 16 else np.uint32
+
+
 def _contexts(w: Words, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Words before (length - k at most) and from (length at most) each anchor that are in its text."""
     row = w.row[at]
@@ -150,7 +156,7 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray, shallow: int) -> tuple[np.
 
 def _settle(length: int):
     """For mapInArrow, over the anchors of a partition: spans of settled ones and requests for the words of others."""
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8)
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, _width(length), _width(length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [common.unpacked(batch, kinds) for batch in batches]
@@ -227,8 +233,11 @@ def repeats(docs: DataFrame, *, length: int = 50, k: int = 8, shallow: int = 12,
 
     Elsewhere is another document or another place of the same one; passages that overlap or touch are one. Null and empty
     texts have none; rows that repeat count once; texts that share an id are documents of their own and give their spans each;
-    rows without an id are skipped; an empty table gives no rows; other columns are not read.
+    rows without an id are skipped; an empty table gives no rows; other columns are not read. Very long texts are read whole;
+    equal passages are all given, none of them is the first. ``length`` is at least ``k``.
     """
+    if not 0 < k <= length:
+        raise ValueError("length must be at least k")
     source = common.texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     parts = common.partitions(docs.sparkSession)
 
@@ -247,7 +256,7 @@ def repeats(docs: DataFrame, *, length: int = 50, k: int = 8, shallow: int = 12,
                     inside = (j >= -left) & (j < right)
                     own = np.where(inside, mix(own * np.uint64(3) + padded[at + np.where(inside, j, 0)]), mix(own + np.uint64(1)))
                 row = w.row[at]
-                held.append([g, own, common.ids(part)[row], common.ids(part, "text_hash")[row], at - w.doc[row], left.astype(np.uint8), right.astype(np.uint8)])
+                held.append([g, own, common.ids(part)[row], common.ids(part, "text_hash")[row], at - w.doc[row], left.astype(_width(length)), right.astype(_width(length))])
                 if sum(len(h[0]) for h in held) > 1 << 20:
                     columns = [np.concatenate(c) for c in zip(*held)]
                     held.clear()
