@@ -273,7 +273,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, n = np.bincount(code, log), np.bincount(code, n).astype(np.int64)
         for lo in range(0, len(doc), 1 << 17):
             part = slice(lo, lo + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(n[part]), pa.array(np.round(log[part], 6)), pa.array(np.round(np.exp(-log[part] / n[part]), 6))], ["doc_id", "n_tokens", "log_prob", "perplexity"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(n[part]), pa.array(np.round(log[part] / n[part], 9)), pa.array(np.round(np.exp(-log[part] / n[part]), 6))], ["doc_id", "n_tokens", "log_prob", "perplexity"])
 
 
 def _unigram(documents: int, once: int, steps: tuple[np.ndarray, np.ndarray], total: int):
@@ -283,12 +283,12 @@ def _unigram(documents: int, once: int, steps: tuple[np.ndarray, np.ndarray], to
     return lambda w: p[np.searchsorted(first, w, side="right") - 1]
 
 
-def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 256 << 20, least: int = 2) -> DataFrame:
-    """doc_id, n_tokens, log_prob (natural) and perplexity of each document under the model of all of docs.
+def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 256 << 20, least: int = 1) -> DataFrame:
+    """doc_id, n_tokens, log_prob (the natural logarithm's mean over the tokens) and perplexity of each document under the model of all of docs.
 
     n_tokens counts the words and one end for each row. Rows that repeat, or share an id, count in the corpus each and are scored
     together; null and empty texts are an end alone; rows without an id are left out altogether; an empty table gives no rows;
-    other columns are not read. n-grams of fewer than ``least`` occurrences are left to the lower order; with 1 none is, and those
+    other columns are not read; very long texts are scored whole. n-grams of fewer than ``least`` occurrences are left to the lower order; with 1 none is, and those
     seen once get their Good-Turing discount. A vocabulary of more than ``broadcast_bytes`` is joined instead of sent to the executors.
     """
     spark = docs.sparkSession
