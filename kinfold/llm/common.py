@@ -45,12 +45,12 @@ def slices(batch: pa.RecordBatch, text: int | str, limit: int = SLICE_BYTES) ->
         lo = hi
 
 
-def over_slices(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: int | str = "text") -> Callable:
+def over_slices(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: int | str = "text", limit: int = SLICE_BYTES) -> Callable:
     """For mapInArrow: f over each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 out = f(part)
                 if out is not None and out.num_rows:
                     yield out

@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index for every training shard.
 
 A phrase is each window of ``n`` words of a benchmark item (all of its words where it has fewer, ``least`` at least). A
-shard is a slice of the documents; the words that occur in no phrase are folded into one symbol, and what lies between two
+shard is what a task reads at a time, up to :data:`SHARD_BYTES` of text; the words that occur in no phrase are folded into one symbol, and what lies between two
 such symbols is left out where it is too short for any phrase, which changes no count of any phrase. Over the rest the
 shard gets a suffix array, its Burrows-Wheeler transform in a wavelet matrix and every 32nd suffix position; phrases are
 searched backwards through ranks, all at once, located by LF steps to the next sampled position, and the spans of a
@@ -26,6 +26,8 @@ from .text import WORD, words
 
 _CASED = regex.compile(WORD.replace("[", "[A-Z"))
 _SAMPLE = 32
+#: Text of a shard, each of which has an index of its own; a single longer text is a shard alone.
+SHARD_BYTES = 32 << 20
 SCHEMA = "doc_id long, start long, end long, n_words int, items array<long>"
 #: With the place of the first word.
 _FOUND = f"{SCHEMA}, first long"
@@ -123,14 +125,14 @@ def phrases_of(items: list[tuple[int, str]], n: int, least: int) -> tuple[np.nda
     vocabulary, code = np.unique(w.hash, return_inverse=True)
     rows, owner = [], []
     for k, (item, _) in enumerate(items):
-        own = code[w.doc[k] : w.doc[k + 1]] + 1
+        own = (code[w.doc[k] : w.doc[k + 1]] + 1).astype(np.int32)
         if len(own) >= n:
             rows.append(np.lib.stride_tricks.sliding_window_view(own, n))
             owner += [item] * (len(own) - n + 1)
         elif len(own) >= least:
             rows.append(np.pad(own, (0, n - len(own)))[None])
             owner.append(item)
-    phrases = np.concatenate(rows) if rows else np.zeros((0, n), np.int64)
+    phrases = np.concatenate(rows) if rows else np.zeros((0, n), np.int32)
     return vocabulary, phrases, (phrases > 0).sum(1), np.array(owner, np.int64)
 
 
@@ -195,29 +197,38 @@ def _finder(vocabulary: np.ndarray, phrases: np.ndarray, sizes: np.ndarray, owne
     return find
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", items_at_once: int = 100_000) -> DataFrame:
+def _batches(benchmark: DataFrame, item_col: str, item_text_col: str, items_at_once: int, chars_at_once: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """(number of passes, the distinct items of each): at most about so many items and characters come to the driver at a time."""
+    own = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("words")).distinct()
+    n, chars = own.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
+    passes = max(-(-n // items_at_once), -(-chars // chars_at_once))
+    part = F.pmod(F.xxhash64("item", "words"), F.lit(max(1, passes)))
+    return passes, (sorted(map(tuple, own.where(part == k).collect())) for k in range(passes))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", items_at_once: int = 100_000, chars_at_once: int = 16 << 20) -> DataFrame:
     """Merged spans of docs that hold phrases of the benchmark: doc_id, start and end in characters, n_words, items.
 
-    ``items_at_once`` benchmark items are sent to the executors at a time; a larger benchmark is searched in as many passes.
-    Null ids are skipped, on either side; null and empty texts match nothing; items of fewer than ``least`` words, which
-    everyday prose would match, are no phrases; rows that repeat, or share an id, give their spans each; an empty table on
-    either side gives no rows; other columns are not read.
+    About ``items_at_once`` items and ``chars_at_once`` characters of the benchmark are sent to the executors at a time; a larger
+    one is searched in as many passes, with the same result. Null ids are skipped, on either side; null and empty texts match
+    nothing; very long texts are searched whole; items of fewer than ``least`` words, which everyday prose would match, are no
+    phrases; an item that has the same phrase as another is named with it; rows that repeat, or share an id, give their spans
+    each; an empty table on either side gives no rows; other columns are not read.
     """
-    items = [(r[0], r[1] or "") for r in benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).toLocalIterator()]
-    items = sorted(set(items))
+    passes, batches = _batches(benchmark, item_col, item_text_col, items_at_once, chars_at_once)
     source = common.texts(docs, id_col, text_col)
-    if len(items) <= items_at_once:
-        return source.mapInArrow(common.over_slices(_finder(*phrases_of(items, n, least), least)), _FOUND).drop("first")
+    if passes <= 1:
+        return source.mapInArrow(common.over_slices(_finder(*phrases_of(next(batches, []), n, least), least), limit=SHARD_BYTES), _FOUND).drop("first")
     rows = common.written(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-    spans = _merge(rows.select(F.col("row").alias("doc_id"), "text"), items, n, least, items_at_once)
+    spans = _merge(rows.select(F.col("row").alias("doc_id"), "text"), batches, n, least)
     return spans.join(rows.select("row", "doc_id"), "row").select("doc_id", "start", "end", "n_words", "items")
 
 
-def _merge(rows: DataFrame, items: list[tuple[int, str]], n: int, least: int, items_at_once: int) -> DataFrame:
+def _merge(rows: DataFrame, batches: Iterator[list[tuple[int, str]]], n: int, least: int) -> DataFrame:
     """row, start, end, n_words, items: the spans of several passes over rows (their number as doc_id, text), merged within each row by their words."""
     spans = None
-    for lo in range(0, len(items), items_at_once):
-        found = rows.mapInArrow(common.over_slices(_finder(*phrases_of(items[lo : lo + items_at_once], n, least), least)), _FOUND)
+    for items in batches:
+        found = common.written(rows.mapInArrow(common.over_slices(_finder(*phrases_of(items, n, least), least), limit=SHARD_BYTES), _FOUND), "spans")
         spans = found if spans is None else spans.unionByName(found)
     last = F.col("first") + F.col("n_words")
     w = W.partitionBy("doc_id").orderBy("first", last)
@@ -227,18 +238,19 @@ def _merge(rows: DataFrame, items: list[tuple[int, str]], n: int, least: int, it
     return part.groupBy("doc_id", "part").agg(*own).select(F.col("doc_id").alias("row"), "start", "end", "n_words", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least: int = 5, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", items_at_once: int = 100_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least: int = 5, text_col: str = "text", length_col: str = "n_chars", item_col: str = "item_id", item_text_col: str = "text", items_at_once: int = 100_000, chars_at_once: int = 16 << 20) -> DataFrame:
     """docs without the spans of :func:`contamination`, in the columns of docs; a text of which only white space and punctuation stays goes.
 
-    Texts without a match, null texts and rows without an id stay as they are. ``length_col`` is set anew where a text changes.
-    A benchmark of several passes is searched in the texts as they are, and each text is cut once.
+    Texts without a match and null or empty texts stay as they are; rows without an id are searched like others; rows that repeat
+    are cut alike; an empty table on either side changes nothing. ``length_col``, where docs has it, is set anew where a text
+    changes. A benchmark of several passes is searched in the texts as they are, and each text is cut once.
     """
-    items = sorted({(r[0], r[1] or "") for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()})
-    if not items:
+    passes, batches = _batches(benchmark, item_col, item_text_col, items_at_once, chars_at_once)
+    if not passes:
         return docs
     t, size = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
-    if len(items) <= items_at_once:
-        find = _finder(*phrases_of(items, n, least), least)
+    if passes == 1:
+        find = _finder(*phrases_of(next(batches), n, least), least)
 
         def search(part: pa.RecordBatch) -> list[tuple[int, int, int]]:
             own = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(t).cast(pa.string()).fill_null("")], ["doc_id", "text"])
@@ -249,7 +261,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, least: i
     row, cuts = (f"__{x}_{uuid.uuid4().hex[:8]}" for x in ("row", "cuts"))
     rows = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     texts = rows.select(F.col(row).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = _merge(texts, items, n, least, items_at_once).groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    spans = _merge(texts, batches, n, least).groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
 
     def known(part: pa.RecordBatch) -> list[tuple[int, int, int]]:
         return [(k, x["start"], x["end"]) for k, own in enumerate(part.column(part.num_columns - 1).to_pylist()) for x in own or ()]
@@ -262,7 +274,7 @@ def _cut(search: Callable[[pa.RecordBatch], list[tuple[int, int, int]]], t: int,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, t):
+            for part in common.slices(batch, t, SHARD_BYTES):
                 spans = search(part)
                 part = part.select(list(range(width)))
                 if not spans:
