@@ -145,12 +145,15 @@ _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 #: Beside these, letters are part of a longer string, often of a secret, which must not teach its own trigrams as ordinary.
 _JOINT = np.zeros(256, bool)
 _JOINT[np.frombuffer(b"0123456789+=", np.uint8)] = True
+#: What candidates are made of: a run of 16 or more with a digit or + may be a secret, and none of its letters are words.
+_RUN = _LETTER.copy()
+_RUN[np.frombuffer(b"0123456789+/_-", np.uint8)] = True
 #: Ratios of held-out strings of the corpus are counted in steps of 1 / _LEVELS; those below 0, which no threshold is, as one.
 _LEVELS, _MOST = 64, 1 << 16
 
 
 def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of 4 letters or more of a column that no digit, + or = adjoins, one behind the other: (codes, where words begin, begin and end of the pairs as long as candidates, which of these are held out).
+    """Words of 4 letters or more of a column that no digit, + or = adjoins and that are in no candidate with a digit or +, one behind the other: (codes, where words begin, begin and end of the pairs as long as candidates, which of these are held out).
 
     A pair is every other word of a text with the next; every other pair of a text is held out.
     """
@@ -163,6 +166,12 @@ def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     joint = _JOINT[data]
     after = np.concatenate([joint, [False]])[end] & ~edge[end]
     long = (end - start >= 4) & ~after & ~(np.concatenate([[False], joint])[start] & ~edge[start])
+    run = _RUN[data]
+    first = np.flatnonzero(run & (~np.concatenate([[False], run[:-1]]) | edge[:-1]))
+    last = np.flatnonzero(run & (~np.concatenate([run[1:], [False]]) | edge[1:])) + 1
+    mixed = np.concatenate([[0], np.cumsum(joint)])
+    may = (last - first >= 16) & (mixed[last] > mixed[first])
+    long &= ~may[np.searchsorted(first, start, side="right") - 1] if len(first) else True
     start, size = start[long], (end - start)[long]
     at = np.concatenate([[0], np.cumsum(size)])
     codes = _CODE[data[np.arange(at[-1]) + np.repeat(start - at[:-1], size)]]
@@ -191,7 +200,8 @@ def train(docs: DataFrame, *, mass: int = 80_000, id_col: str = "doc_id", text_c
     """Models for docs: the words of 4 letters or more of all documents are ordinary, each as often as it is there.
 
     All words together weigh as much as ``mass`` words beside the labelled samples, or their own number if they are fewer, in the
-    model as in the threshold, so neither depends on the size of the corpus. Rows without an id are left out.
+    model as in the threshold, so neither depends on the size of the corpus. Rows without an id and null texts are left out; rows
+    that repeat count each; very long texts are read whole; of an empty table the labelled samples alone make the models.
     """
     source = common.texts(docs, id_col, text_col)
 
@@ -251,8 +261,8 @@ def _scan(column: pa.Array, model: Model) -> tuple[list[int], list[int], list[in
 def secrets(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start and end in characters, and llr of each secret; the secret itself is not given.
 
-    Null and empty texts have none; rows that repeat give theirs each; rows without an id are skipped; an empty table gives no
-    rows; other columns are not read.
+    Null and empty texts have none; very long texts are read whole; a ratio equal to the threshold is none; rows that repeat, or
+    share an id, give theirs each; rows without an id are skipped; an empty table gives no rows; other columns are not read.
     """
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,7 +275,11 @@ def secrets(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def redact(docs: DataFrame, model: Model, *, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with :data:`PLACEHOLDER` for each secret, in the columns of docs; length_col, if there is one, is set anew where a text changes."""
+    """docs with :data:`PLACEHOLDER` for each secret, in the columns of docs; length_col, if there is one, is set anew where a text changes.
+
+    Every row stays: null and empty texts as they are, rows without an id, and rows that repeat, like others. Very long texts are
+    read whole; an empty table gives no rows; other columns, whatever their names, are passed on.
+    """
     names = docs.columns
     t, size = names.index(text_col), names.index(length_col) if length_col in names else None
 
