@@ -8,6 +8,7 @@ the cluster; within a file the work is sequential by its nature and keeps one re
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -103,7 +104,7 @@ def records(file: BinaryIO) -> Iterator[tuple[bytes, dict[str, str]]]:
 
 
 def normalise(source: str, target: str, index: str, level: int = 6) -> pa.Table:
-    """Rewrite a gzip WARC file with a member for each record; the index goes to a Parquet file and is returned.
+    """Rewrite a gzip WARC file with a member for each record; the index goes to a Parquet file and is returned. A malformed file raises an error and leaves nothing.
 
     Members are byte for byte the records of the source, in order; an empty file gives an empty file and index; a file with a
     member for each record already comes out the same but for its compression. Both files appear under their names only when
@@ -112,14 +113,18 @@ def normalise(source: str, target: str, index: str, level: int = 6) -> pa.Table:
     own = f".{os.getpid()}-{os.urandom(4).hex()}"
     (fs, src), (to, dst), (_, idx) = _filesystem(source), _filesystem(target), _filesystem(index)
     rows: list[tuple] = []
-    with fs.open_input_stream(src, compression=None) as file, to.open_output_stream(dst + own, compression=None) as out:
-        at = 0
-        for n, (whole, head) in enumerate(records(file)):
-            z = zlib.compressobj(level, zlib.DEFLATED, 31)
-            member = z.compress(whole) + z.flush()
-            out.write(member)
-            rows.append((n, at, len(member), len(whole), zlib.crc32(whole), head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri")))
-            at += len(member)
+    try:
+        with fs.open_input_stream(src, compression=None) as file, to.open_output_stream(dst + own, compression=None) as out:
+            at = 0
+            for n, (whole, head) in enumerate(records(file)):
+                z = zlib.compressobj(level, zlib.DEFLATED, 31)
+                member = z.compress(whole) + z.flush()
+                out.write(member)
+                rows.append((n, at, len(member), len(whole), zlib.crc32(whole), head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri")))
+                at += len(member)
+    except (WarcError, zlib.error):
+        to.delete_file(dst + own)
+        raise
     table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(INDEX), INDEX)], schema=INDEX)
     with to.open_output_stream(idx + own, compression=None) as out:
         pyarrow.parquet.write_table(table, out)
@@ -166,10 +171,15 @@ def write_monolithic(pages: DataFrame, folder: str, *, id_col: str = "page_id",
 
 
 def normalise_all(spark: SparkSession, paths: list[str], folder: str, *, level: int = 6) -> DataFrame:
-    """The index of all members that :func:`normalise` makes of the files, a task for each file: file, then the columns of the index.
+    """The index of all members that :func:`normalise` makes of the files, a task for each file: file, then the columns of the index, then error.
 
-    The same rows are in the sidecar file ``<file>.index.parquet`` beside each normalised file.
+    The same rows are in the sidecar file ``<file>.index.parquet`` beside each normalised file. A malformed file gives one row, of
+    its name and what is wrong with it, and neither a normalised file nor a sidecar; the others are normalised all the same. Files of
+    the same name in different folders would replace each other and are refused.
     """
+    if len({os.path.basename(p) for p in paths}) < len(set(paths)):
+        raise ValueError("files must have different names")
+    paths = sorted(set(paths))
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartitionByRange(max(1, len(paths)), "path") if paths else spark.createDataFrame([], "path string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,22 +188,23 @@ def normalise_all(spark: SparkSession, paths: list[str], folder: str, *, level:
                 target = f"{folder}/{os.path.basename(path)}"
                 fs, p = _filesystem(target)
                 fs.create_dir(os.path.dirname(p), recursive=True)
-                index = normalise(path, target, target + ".index.parquet", level)
-                for part in index.add_column(0, "file", pa.array([os.path.basename(path)] * len(index), pa.string())).to_batches(max_chunksize=10_000):
-                    yield part
+                try:
+                    index, error = normalise(path, target, target + ".index.parquet", level), None
+                except (WarcError, zlib.error) as e:
+                    index, error = pa.Table.from_arrays([pa.nulls(1, f.type) for f in INDEX], schema=INDEX), str(e)
+                name, said = (pa.array([x] * len(index), pa.string()) for x in (os.path.basename(path), error))
+                yield from index.add_column(0, "file", name).append_column("error", said).to_batches(max_chunksize=10_000)
 
     kinds = {pa.int64(): "long", pa.string(): "string"}
-    return files.mapInArrow(run, "file string, " + ", ".join(f"`{f.name}` {kinds[f.type]}" for f in INDEX))
+    return files.mapInArrow(run, "file string, " + ", ".join(f"`{f.name}` {kinds[f.type]}" for f in INDEX) + ", error string")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
     """Pages written as monolithic files in the shared folder, normalised: the index of all members, with its file.
 
-    What :func:`write_monolithic` says of nulls holds; rows that repeat, or share an id, are records each; an empty table gives
-    no rows; other columns are not read.
+    What :func:`write_monolithic` says of nulls holds; rows that repeat, or share an id, are records each; a very long page is one
+    record, held in memory alone; an empty table gives no rows; other columns are not read.
     """
-    import uuid
-
     folder = f"{storage.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     paths = [r.path for r in write_monolithic(pages, f"{folder}/raw", **options).select("path").toLocalIterator()]
     return normalise_all(spark, sorted(paths), f"{folder}/members")
