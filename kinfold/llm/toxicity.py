@@ -1,13 +1,14 @@
 """Toxicity by a classifier chain of linear models.
 
-The chain goes through :data:`CATEGORIES` in order. Each model is a logistic regression over the words of a document and
+The chain goes through the label columns that the caller names, in order; the first decides. Each model is a logistic regression over the words of a document and
 their first 4, 5 and 6 bytes (present or not) and the probabilities of all earlier categories; in training those are out-of-fold predictions, so a later model sees
-earlier ones as they are on unseen documents. The label table knows one toxicity label only, so the first category is that
-label and the later ones are weak labels: a toxic document with a word of the category's list, which is a parameter.
+earlier ones as they are on unseen documents. What is predicted for a fold comes from the others alone, the choice of features included.
 
-The models are fitted to at most ``per_class`` labelled documents of each class, those with the smallest hash of the id, which
+The models are fitted to at most ``per_class`` labelled documents of each class of the first label, those with the smallest hash of the id, which
 bounds what is broadcast and what comes to the driver; each class weighs as much as it has labels, so the class ratio is that of
-all labels at every size. The threshold is set on all labelled documents: out-of-fold probabilities of those that train, and
+all labels at every size. Features are at most ``features`` words and beginnings of words that are in 10 of these documents or more, three times
+as frequent or rare among those with a label as among those without, and associated with it beyond chance (chi-square of 16, which one word of 10,000 reaches by chance). The
+threshold is set on all labelled documents: out-of-fold probabilities of those that train, and
 counts of the others' probabilities, from one pass over all documents whose ids and probabilities alone are shuffled.
 """
 
@@ -24,16 +25,12 @@ from pyspark.sql import functions as F
 from . import common
 from .text import mix, words
 
-#: Categories after the label itself, with the words that mark them (lower case).
-CATEGORIES: dict[str, tuple[str, ...]] = {
-    "insult": ("idiot", "moron", "stupid", "dumb", "fool", "loser", "clown", "imbecile", "cretin", "jerk", "bastard", "crétin", "dummkopf", "idiota", "imbécil"),
-    "derogation": ("scum", "trash", "worthless", "pathetic", "disgusting", "vermin", "garbage", "filth", "useless", "revolting", "subhuman", "abschaum", "ordure", "escoria"),
-    "threat": ("kill", "murder", "hurt", "destroy", "die", "shoot", "stab", "beat", "strangle", "tuer", "töten", "matar"),
-}
+#: Label columns in the order of the chain.
+CATEGORIES = ("toxic", "quality")
 #: Bytes of the beginnings of words that are features beside the words.
 PREFIXES = (4, 5, 6)
 _LEAST = 20
-_SURE = 30.0
+_SURE, _LIFT = 16.0, 3
 #: Probabilities of documents that don't train are counted by so many levels for the threshold.
 _LEVELS = 1 << 14
 
@@ -108,56 +105,70 @@ def _largest(x: np.ndarray, weight: np.ndarray) -> float:
     return 1.1 * size
 
 
-def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, categories: dict[str, tuple[str, ...]] = CATEGORIES, *, features: int = 2048, folds: int = 5, l2: float = 1e-3, steps: int = 150, weights: tuple[float, float] = (1.0, 1.0), others: Callable[[Chain], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> Chain:
-    """A chain from the distinct word hashes of each labelled text and its label; folds go by place in the list.
-
-    weights: of each text by its label. others: for the chain, probabilities of further labelled texts, their labels and how often
-    each is, which count for the threshold too. Of near copies one trains, else a group of copies with one wrong label would teach its words.
+class _Texts:
+    """Distinct feature hashes of labelled texts, and matrices of chosen ones."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.vocabulary, self.code = np.unique(flat, return_inverse=True)
+        self.row = np.repeat(np.arange(len(sets)), np.array([len(s) for s in sets], np.int64))
+
+    def chosen(self, labels: np.ndarray, use: np.ndarray, most: int) -> np.ndarray:
+        """Places of the features with the strongest association (chi-square) with any label in the texts to use; only sure and
+        marked ones: a few wrong labels would else be learned by heart from words that nearly don't tell."""
+        size, strength = len(self.vocabulary), np.zeros(len(self.vocabulary))
+        for y in labels.T:
+            own = use & ~np.isnan(y)
+            n, pos, at = own.sum(), y[own].sum(), own[self.row]
+            count = np.bincount(self.code[at], minlength=size)
+            a = np.bincount(self.code[at], y[self.row[at]], size)
+            expected = count * pos / max(n, 1)
+            lift = (a + 1) / (pos + 2) / ((count - a + 1) / (n - pos + 2))
+            sure = (a - expected) ** 2 / np.maximum(expected * (1 - count / max(n, 1)), 1e-9)
+            strength = np.maximum(strength, np.where(((lift >= _LIFT) | (lift <= 1 / _LIFT)) & (count >= _LEAST // 2) & (sure >= _SURE), sure, 0))
+        best = np.sort(np.lexsort((self.vocabulary, -strength))[:most])
+        return best[strength[best] > 0]
+
+    def matrix(self, places: np.ndarray, texts: int, earlier: list[np.ndarray]) -> np.ndarray:
+        """A row for each text: whether it has each feature, then the earlier probabilities."""
+        where = np.full(len(self.vocabulary), -1)
+        where[places] = np.arange(len(places))
+        x = np.zeros((texts, len(places) + len(earlier)), np.float32)
+        seen = where[self.code] >= 0
+        x[self.row[seen], where[self.code[seen]]] = 1
+        for j, p in enumerate(earlier):
+            x[:, len(places) + j] = p
+        return x
+
+
+def fit_chain(sets: list[np.ndarray], labels: np.ndarray, names: tuple[str, ...] = CATEGORIES, *, features: int = 2048, folds: int = 5, l2: float = 1e-3, steps: int = 150, weights: tuple[float, float] = (1.0, 1.0), others: Callable[[Chain], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> tuple[Chain, np.ndarray]:
+    """(a chain, the out-of-fold probabilities) from the distinct feature hashes of each text and its labels, a column for each name, NaN where unknown.
+
+    Folds go by place in the list. weights: of each text by its first label, which must be known. others: for the chain,
+    probabilities of further labelled texts, their first labels and how often each is, which count for the threshold too. Of near copies
+    one trains, else a group of copies with one wrong label would teach its words; only that one has probabilities.
     """
     alone = _one_of_each(sets)
-    sets, toxic = [sets[k] for k in alone], toxic[alone]
-    n = len(sets)
-    names = ("toxic", *categories)
-    flat, size = (np.concatenate(sets) if n else np.zeros(0, np.uint64)), np.array([len(s) for s in sets], np.int64)
-    vocabulary, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), size)
-    labels = [toxic.astype(np.float64)]
-    for listed in categories.values():
-        own = words(pa.array(list(listed), pa.string())).hash
-        hit = np.bincount(row, np.isin(vocabulary, own)[code], n) > 0 if n else np.zeros(0, bool)
-        labels.append((hit & (toxic > 0)).astype(np.float64))
-    # features by the strength of their association with any of the labels (chi-square), only sure and marked ones: a few
-    # wrong labels would else be learned by heart from words that nearly don't tell
-    strength = np.zeros(len(vocabulary))
-    for y in labels:
-        pos, a = y.sum(), np.bincount(code, y[row], len(vocabulary)) if n else np.zeros(0)
-        expected = count * pos / max(n, 1)
-        lift = (a + 1) / (pos + 2) / ((count - a + 1) / (n - pos + 2))
-        strength = np.maximum(strength, np.where((lift >= 3) | (lift <= 1 / 3), (a - expected) ** 2 / np.maximum(expected * (1 - count / max(n, 1)), 1e-9), 0))
-    strength[(count < _LEAST // 2) | (strength < _SURE)] = -1
-    best = np.sort(np.lexsort((vocabulary, -strength))[:features])
-    best = best[strength[best] > 0]
-    where = np.full(len(vocabulary), -1)
-    where[best] = np.arange(len(best))
-    x = np.zeros((n, len(best)), np.float32)
-    seen = where[code] >= 0
-    x[row[seen], where[code[seen]]] = 1
-    fold, models, first = np.arange(n) % folds, [], np.zeros(0)
-    weight = np.array(weights)[toxic.astype(np.int64)]
-    for y in labels:
-        models.append(_fit(x, y, l2, steps, weight))
-        held = np.zeros(n, np.float32)
+    own, labels = _Texts([sets[k] for k in alone]), labels[alone]
+    n, every = len(alone), np.ones(len(alone), bool)
+    fold, weight = np.arange(n) % folds, np.array(weights)[labels[:, 0].astype(np.int64)]
+    best = own.chosen(labels, every, features)
+    by_fold = [own.chosen(labels, fold != f, features) if n else best for f in range(folds)]
+    models, held = [], []
+    for y in labels.T:
+        known = ~np.isnan(y)
+        models.append(_fit(own.matrix(best, n, held)[known], y[known], l2, steps, weight[known]))
+        p = np.zeros(n)
         for f in range(folds):
             if (fold == f).any():
-                held[fold == f] = _fit(x[fold != f], y[fold != f], l2, steps, weight[fold != f])(x[fold == f])
-        if len(models) == 1:
-            first = held
-        x = np.column_stack([x, held])
-    chain = Chain(names, vocabulary[best], tuple(models))
-    p, y, times = first, labels[0], np.ones(n)
+                x, use = own.matrix(by_fold[f], n, held), known & (fold != f)
+                p[fold == f] = _fit(x[use], y[use], l2, steps, weight[use])(x[fold == f])
+        held.append(p)
+    chain = Chain(tuple(names), own.vocabulary[best], tuple(models))
+    p, y, times = held[0], labels[:, 0], np.ones(n)
     if others is not None:
         p, y, times = (np.concatenate(c) for c in zip((p, y, times), others(chain)))
-    return chain._replace(threshold=_best_cut(p, y, times)) if 0 < y.sum() < len(y) else chain
+    return (chain._replace(threshold=_best_cut(p, y, times)) if 0 < y.sum() < len(y) else chain), np.column_stack(held)
 
 
 def _best_cut(p: np.ndarray, y: np.ndarray, times: np.ndarray) -> float:
@@ -186,31 +197,40 @@ def _one_of_each(sets: list[np.ndarray]) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES, *, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
-    """A chain fitted to at most ``per_class`` labelled documents of each class, with the threshold of all labelled documents.
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, *, per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """A chain for the label columns ``categories`` of labels (0 or 1), fitted to at most ``per_class`` labelled documents of each class of the first, with the threshold of all that have it.
 
-    Of near copies among those that train one counts; a labelled document that doesn't train counts as often as it is in docs.
+    Other values, and null ones, are unknown: a document without the first label doesn't train, one without a later label trains the
+    earlier models. Of several labels of one id the greatest counts, of several texts of one id the first in byte order; rows without an id
+    are left out. Of near copies among those that train one counts; a labelled document that doesn't train counts as often as it is in
+    docs. Very long texts are read whole. Without labels, or of an empty table, each model is a constant.
     """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
+    value = lambda c: F.when(F.col(c).isin(0, 1), F.col(c).cast("int"))
+    own = [F.max(value(c)).alias(f"label{k}") for k, c in enumerate(categories)]
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(*own).where("label0 is not null")
+    later = [f"label{k}" for k in range(1, len(categories))]
+    known = known.withColumnRenamed("label0", "label").select("doc_id", "label", F.array(*[F.col(c) for c in later]).cast("array<int>").alias("later"))
     key = F.xxhash64("doc_id")
     sample = known.where("label = 0").orderBy(key, "doc_id").limit(per_class).unionByName(known.where("label = 1").orderBy(key, "doc_id").limit(per_class))
-    picked = common.texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    picked = common.texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "later", "text")
 
     def distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, feature = _features(batch.column("text"))
         order = np.lexsort((feature, row))
         at = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
         own = [np.unique(feature[order[a:b]]).tobytes() for a, b in zip(at[:-1], at[1:])]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(own, pa.binary())], ["doc_id", "label", "words"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "later")), pa.array(own, pa.binary())], ["doc_id", "label", "later", "words"])
 
-    rows = sorted((r.doc_id, r.label, bytes(r.words)) for r in picked.mapInArrow(common.over_slices(distinct), "doc_id long, label int, words binary").collect())
+    found = picked.mapInArrow(common.over_slices(distinct), "doc_id long, label int, later array<int>, words binary").collect()
+    rows = sorted(((r.doc_id, bytes(r.words), [r.label, *r.later]) for r in found), key=lambda r: r[:2])
     rows = [r for k, r in enumerate(rows) if not k or r[0] != rows[k - 1][0]]
     order = np.random.default_rng(11).permutation(len(rows))
-    sets, toxic = [np.frombuffer(rows[k][2], np.uint64) for k in order], np.array([rows[k][1] for k in order], np.int64)
+    sets = [np.frombuffer(rows[k][1], np.uint64) for k in order]
+    y = np.array([rows[k][2] for k in order], float).reshape(len(rows), len(categories))
     count = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     weights = tuple(max(count.get(c, 0), 1) / max(1, min(count.get(c, 0), per_class)) for c in (0, 1))
     if weights == (1.0, 1.0):
-        return fit_chain(sets, toxic, categories)
+        return fit_chain(sets, y, categories)[0]
 
     def others(chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def place(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -222,14 +242,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, .
         level, label, n = (np.array([r[k] for r in found], float) for k in range(3))
         return (level + 0.5) / _LEVELS, label, n
 
-    return fit_chain(sets, toxic, categories, weights=weights, others=others)
+    return fit_chain(sets, y, categories, weights=weights, others=others)[0]
 
 
 def scores(docs: DataFrame, chain: Chain, *, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a probability p_<category> for each category, and is_toxic: p_toxic is at least the threshold, by default the chain's.
+    """doc_id, a probability p_<category> for each category, and is_toxic: that of the first is at least the threshold, by default the chain's.
 
     A row for each row of docs with an id, repeated rows too; null and empty texts get the probabilities of a text without
-    words, which the models' constants give; an empty table gives no rows; other columns are not read.
+    words, which the models' constants give; very long texts are read whole; an empty table gives no rows; other columns are not read.
     """
     names = [f"p_{c}" for c in chain.names]
     threshold = chain.threshold if threshold is None else threshold
@@ -243,7 +263,11 @@ def scores(docs: DataFrame, chain: Chain, *, threshold: float | None = None, id_
 
 
 def accepted(docs: DataFrame, chain: Chain, *, threshold: float | None = None, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text is toxic, in the columns of docs; null texts and rows without an id are judged alike."""
+    """docs without the rows whose text is toxic, in the columns of docs.
+
+    Null and empty texts, rows without an id and rows that repeat are judged like others; a probability equal to the threshold is
+    toxic; very long texts are read whole; an empty table gives no rows; other columns, whatever their names, are passed on.
+    """
     t, threshold = docs.columns.index(text_col), chain.threshold if threshold is None else threshold
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
