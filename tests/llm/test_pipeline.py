@@ -1,8 +1,8 @@
 """The pipeline stage by stage against what each must do."""
 
 import corpus_pipeline
-from kinfold.llm import decontaminate, secrets
-from tests.llm.test_operators import prose, valid_packing, words
+from kinfold.llm import decontaminate, secrets, token_counts
+from tests.llm.test_operators import prose, valid_packing
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,5 +35,12 @@ def test_pipeline(spark, tmp_path):
     assert secret[203].endswith(secrets.PLACEHOLDER) and {i: t for i, t in secret.items() if i != 203} == {i: t for i, t in bench.items() if i != 203}
     assert decontaminate.contamination(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).count() == 0
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    valid_packing(packed, [(i, len(words(t))) for i, t in secret.items() if i is not None], 2048)
+    encoding, _ = token_counts.encoder(token_counts.VOCABULARY)
+    valid_packing(packed, [(i, len(encoding.encode_ordinary(t or ""))) for i, t in secret.items() if i is not None], 2048)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", COLUMNS), ("labels", "doc_id long, toxic int, quality int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
