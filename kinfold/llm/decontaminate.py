@@ -27,7 +27,7 @@ from .text import WORD, words
 _CASED = regex.compile(WORD.replace("[", "[A-Z"))
 _SAMPLE = 32
 #: Text of a shard, each of which has an index of its own; a single longer text is a shard alone.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 SCHEMA = "doc_id long, start long, end long, n_words int, items array<long>"
 #: With the place of the first word.
 _FOUND = f"{SCHEMA}, first long"
