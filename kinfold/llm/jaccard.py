@@ -92,7 +92,10 @@ def _order(source: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 << 20):
-    """For mapInArrow: prefix entries (key, set, size, place) in a blob for each partition that they go to."""
+    """For mapInArrow: prefix entries (40 bits of the n-gram's hash, set, size, place) in a blob for each partition that they go to.
+
+    n-grams with the same 40 bits in one partition only make a pair a candidate more often.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -100,12 +103,7 @@ def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 <
         def emit() -> pa.RecordBatch:
             key, fp, size, place = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            to = (mix(key) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            key, fp, size, place, to = (x[order] for x in (key, fp, size, place, to))
-            cut = np.searchsorted(to, np.arange(parts + 1))
-            rows = [(p, b - a, pa.compress(b"".join(np.ascontiguousarray(x[a:b]).tobytes() for x in (key, fp, size, place)), "zstd", asbytes=True)) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "entries"])
+            return common.packed(parts, key, [(key >> np.uint64(32)).astype(np.uint32), (key >> np.uint64(24)).astype(np.uint8), fp, size, place])
 
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -119,7 +117,7 @@ def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 <
                 key, place = key[order], np.arange(len(g)) - np.repeat(at[:-1], size)
                 length = size - np.ceil(t * size - 1e-9).astype(np.int64) + np.minimum(_common(size), np.ceil(t * size - 1e-9).astype(np.int64))
                 use = (place < length[row]) & np.isin(row, one)
-                held.append((key[use], fp[row[use]], size[row[use]].astype(np.uint32), place[use].astype(np.uint32)))
+                held.append((mix(key[use]), fp[row[use]], size[row[use]].astype(np.uint32), place[use].astype(np.uint32)))
                 if sum(len(h[0]) for h in held) >= flush:
                     yield emit()
         if held:
@@ -132,15 +130,12 @@ def _join(t: float, parts: int, chunk: int = 1 << 22):
     """For mapInArrow: pairs of sets of a partition's entries with the number of common prefix n-grams there, to the partition of the lesser set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            for n, blob in zip(batch.column("n").to_pylist(), batch.column("entries")):
-                raw = pa.decompress(blob.as_py(), n * 24, "zstd", asbytes=True)
-                held.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, n * 8), np.frombuffer(raw, np.uint32, n, n * 16), np.frombuffer(raw, np.uint32, n, n * 20)))
+        held = [common.unpacked(batch, (np.uint32, np.uint8, np.int64, np.uint32, np.uint32)) for batch in batches if batch.num_rows]
         if not held:
             return
-        key, fp, size, place = (np.concatenate(c) for c in zip(*held))
+        high, low, fp, size, place = (np.concatenate(c) for c in zip(*held))
         held.clear()
+        key = high.astype(np.uint64) << np.uint64(8) | low
         _, code, many = np.unique(key, return_inverse=True, return_counts=True)
         use = many[code] > 1
         code, fp, size, place = code[use], fp[use], size[use].astype(np.int64), place[use].astype(np.int64)
@@ -310,7 +305,7 @@ def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "
 
     every = common.written(source.mapInArrow(common.over_slices(fingerprint), "doc_id long, fp long").distinct(), "members")
     members = every.where("fp is not null")
-    entries = source.mapInArrow(_prefixes(levels, n, t, parts), "part int, n long, entries binary")
+    entries = source.mapInArrow(_prefixes(levels, n, t, parts), common.PACKED)
     found = entries.repartitionById(parts, F.col("part")).mapInArrow(_join(t, parts), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_count, "a long, b array<long>")
     candidates = common.written(found, "candidates")
     # a pair is verified at the least neighbour of its lesser set: sets of one group of copies meet there, once
