@@ -182,15 +182,16 @@ def _best_cut(p: np.ndarray, y: np.ndarray, times: np.ndarray) -> float:
 
 
 def _one_of_each(sets: list[np.ndarray]) -> np.ndarray:
-    """Places of the sets that share neither of two pairs of minimum hashes with an earlier one."""
-    seen: set[tuple[int, int, int]] = set()
+    """Places of the sets that share none of four rows of five minimum hashes with an earlier one: of sets with a Jaccard similarity of 0.9, 97 % share one, of 0.3, 1 %."""
+    seeds = mix(np.arange(1, 21))
+    seen: set[tuple[int, bytes]] = set()
     keep = []
     for k, s in enumerate(sets):
         if not len(s):
             keep.append(k)
             continue
-        low = [int(mix(s ^ np.uint64(0x51ED270B * (j + 1))).min()) for j in range(4)]
-        own = {(0, low[0], low[1]), (1, low[2], low[3])}
+        low = np.array([mix(s ^ seed).min() for seed in seeds])
+        own = {(band, low[5 * band : 5 * band + 5].tobytes()) for band in range(4)}
         if not own & seen:
             keep.append(k)
         seen |= own
