@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .config import Config
-from .functions import domain, features, fuzzy, taxonomy, text
+from .functions import domain, fuzzy, taxonomy, text
 from .operators import block, clean, cluster, mitigate, score, training
-from .storage import written
 from .plans.incremental import run_incremental, run_summary
+from .registry import QUERIES, SQL, query
 from .schemas import empty
+from .storage import written
 from .sources.testbed import WITH, WITH_PAIRS, entities, flat_entities, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _CLEAN = r"trim(regexp_replace(lower(coalesce({}, '')), '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
@@ -405,56 +389,6 @@ def incremental_run(spark, d):
     return run_incremental(spark, services=entities(spark, d), config=Config.default("service"))["review_queue"]
 
 
-# features of documents as pairs of neighbours
-
-
-def _documents(spark, d):
-    none = F.array().cast("array<string>")
-    x = table(spark, d, "documents").select(
-        F.col("doc_id").alias("k"), F.struct(text.clean_text(F.substring_index("text", "\n", 1)).alias("name"), text.clean_text(F.col("text")).alias("description"), none.alias("emails"), F.array("lang").alias("phones"), F.array("source").alias("websites")).alias("l")
-    )
-    return x.join(x.select((F.col("k") - 1).alias("k"), F.col("l").alias("r")), "k")
-
-
-_DOCS = f"""WITH w AS (SELECT doc_id AS k, {_c("split_part(text, chr(10), 1)")} AS name, {_c('text')} AS t FROM documents), p AS (SELECT a.k, a.name AS na, b.name AS nb, a.t AS ta, b.t AS tb FROM w a JOIN w b ON b.k = a.k + 1)"""
-_W = r"[\p{L}\p{M}\p{N}_]+"
-
-
-def _set(x: str) -> str:
-    return f"list_distinct(regexp_extract_all({x}, '{_W}'))"
-
-
-
-
-def _pick(groups, *names):
-    def run(spark, d):
-        f = features.pair_features(_documents(spark, d).select("k", "l", "r"), groups=groups)
-        return f.select("k", *[F.round(n, 6).alias(n) for n in names])
-
-    return run
-
-
-@query(_DOCS + f""", s AS (SELECT k, {_set('na')} AS u, {_set('nb')} AS v FROM p)
-SELECT k, round(coalesce(len(list_intersect(u, v)) / nullif(len(u) + len(v) - len(list_intersect(u, v)), 0), 0), 6) AS token_jaccard, len(list_intersect(u, v))::DOUBLE AS token_overlap_count,
-(len(u) + len(v) - len(list_intersect(u, v)))::DOUBLE AS total_token_count, abs(len(u) - len(v))::DOUBLE AS name_length_diff_in_tokens FROM s""")
-def feat_tokens(spark, d):
-    return _pick((features.tokens,), "token_jaccard", "token_overlap_count", "total_token_count", "name_length_diff_in_tokens")(spark, d)
-
-
-@query(_DOCS + f""", s AS (SELECT k, length(ta) AS x, length(tb) AS y, {_set('ta')} AS u, {_set('tb')} AS v FROM p)
-SELECT k, round(coalesce(least(x, y) / nullif(greatest(x, y), 0), 1), 6) AS description_length_ratio,
-round(abs(coalesce(len(list_intersect(u, v)) / nullif(len(u), 0), 0) - coalesce(len(list_intersect(u, v)) / nullif(len(v), 0), 0)), 6) AS containment_asymmetry FROM s""")
-def feat_statistics(spark, d):
-    return _pick((features.statistics,), "description_length_ratio", "containment_asymmetry")(spark, d)
-
-
-@query(_DOCS + f""", s AS (SELECT k, regexp_extract_all(ta, '{_W}') AS u, regexp_extract_all(tb, '{_W}') AS v FROM p),
-g AS (SELECT k, list_distinct(list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) AS u, list_distinct(list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS v FROM s)
-SELECT k, round(coalesce(len(list_intersect(u, v)) / nullif(len(u) + len(v) - len(list_intersect(u, v)), 0), 0), 6) AS bigram_jaccard FROM g""")
-def feat_ngrams(spark, d):
-    return _pick((features.word_ngrams,), "bigram_jaccard")(spark, d)
-
-
 # training data
 
 
@@ -525,4 +459,6 @@ def conversation_rollup(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), F.sum(F.length("text")).alias("chars"))
 
 
-__all__ = ["QUERIES", "SQL", "W"]
+from . import queries_features, queries_store  # noqa: E402, F401: they add theirs to the catalogue
+
+__all__ = ["QUERIES", "SQL"]
