@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Blocking
 from ..functions import domain, taxonomy, text
 from ..schemas import conform, empty
+from ..storage import written
 
 
 def evidence(entities: DataFrame, channels: tuple[str, ...]) -> DataFrame:
@@ -28,6 +31,40 @@ def evidence(entities: DataFrame, channels: tuple[str, ...]) -> DataFrame:
     return out
 
 
+def with_parents(codes: DataFrame) -> DataFrame:
+    """codes with up, the parent of each code, worked out once for each distinct code."""
+    ups = codes.select("code").distinct().withColumn("up", taxonomy.parent(F.col("code")))
+    return codes.join(ups, "code")
+
+
+#: Whether two entities, as :func:`comparable` has them, share evidence in a channel; more channels can be added.
+EVALUATORS: dict[str, Callable[[Column, Column], Column]] = {
+    "taxonomy": lambda a, b: F.arrays_overlap(a["codes"], b["codes"]) | F.arrays_overlap(a["codes"], b["ups"]) | F.arrays_overlap(a["ups"], b["codes"]),
+    **{c: (lambda c: lambda a, b: F.arrays_overlap(a[c], b[c]))(c) for c in ("email", "phone", "website", "location")},
+}
+
+
+def comparable(entities: DataFrame) -> DataFrame:
+    """entity_id, entity_type and own: codes, their parents and the values of each channel."""
+    codes = entities.select("entity_id", "entity_type", F.explode(taxonomy.code_set(F.col("taxonomies"), F.col("services_rollup"))).alias("code"))
+    lists = with_parents(codes).groupBy("entity_id", "entity_type").agg(F.collect_set("code").alias("codes"), F.collect_set("up").alias("ups"))
+    none = F.array().cast("array<string>")
+    plain = {"email": F.col("emails"), "phone": F.col("phones"), "website": domain.contact_domains(none, F.col("websites")), "location": text.location_keys(F.col("locations"))}
+    own = F.struct(F.coalesce("codes", none).alias("codes"), F.coalesce("ups", none).alias("ups"), *[F.coalesce(c, none).alias(n) for n, c in plain.items()])
+    return entities.join(lists, ["entity_id", "entity_type"], "left").select("entity_id", "entity_type", own.alias("own"))
+
+
+def judged(near: DataFrame, entities: DataFrame, channels: tuple[str, ...]) -> DataFrame:
+    """near with by_taxonomy and by_other: whether the evaluators of the channels find evidence on either side of the gate."""
+    own = comparable(entities)
+    out = near
+    for side in ("anchor", "other"):
+        out = out.join(own.select(F.col("entity_id").alias(side), "entity_type", F.col("own").alias(f"__{side}")), [side, "entity_type"])
+    said = {c: F.coalesce(EVALUATORS[c](F.col("__anchor"), F.col("__other")), F.lit(False)) for c in channels}
+    any_of = lambda names: reduce(or_, [said[c] for c in names], F.lit(False))
+    return out.select(*near.columns, any_of([c for c in channels if c == "taxonomy"]).alias("by_taxonomy"), any_of([c for c in channels if c != "taxonomy"]).alias("by_other"))
+
+
 def gate_first(entities: DataFrame, anchors: DataFrame, settings: Blocking) -> DataFrame:
     """Pairs of an anchor and another entity of its type with taxonomy and other evidence: anchor, other and the reasons.
 
@@ -37,19 +74,18 @@ def gate_first(entities: DataFrame, anchors: DataFrame, settings: Blocking) -> D
     session = entities.sparkSession
     if "taxonomy" not in settings.channels or len(settings.channels) < 2:
         return session.createDataFrame([], "anchor string, other string, entity_type string, reasons array<string>")
-    codes = entities.select("entity_id", "entity_type", F.explode(taxonomy.code_set(F.col("taxonomies"), F.col("services_rollup"))).alias("code")).withColumn("up", taxonomy.parent(F.col("code")))
-    keyed = evidence(entities, settings.channels).join(codes, ["entity_id", "entity_type"])
+    codes = with_parents(entities.select("entity_id", "entity_type", F.explode(taxonomy.code_set(F.col("taxonomies"), F.col("services_rollup"))).alias("code")))
+    keyed = written(evidence(entities, settings.channels).join(codes, ["entity_id", "entity_type"]), "keyed")
+    # equal codes, a code and a parent, a parent and a code: three kinds of keys of one join
+    def keys(own: tuple[str, str, str]) -> Column:
+        return F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).alias("c")) for n, c in enumerate(own)]), lambda x: x["c"].isNotNull()))
+
+    side = lambda df, name, own: df.select(F.col("entity_id").alias(name), "entity_type", "kind", "value", keys(own).alias("key"))
     from_anchor = keyed.join(anchors.select("entity_id", "entity_type").distinct(), ["entity_id", "entity_type"], "left_semi")
-    left = from_anchor.select(F.col("entity_id").alias("anchor"), "entity_type", "kind", "value", "code", "up")
-    right = keyed.select(F.col("entity_id").alias("other"), "entity_type", "kind", "value", F.col("code").alias("code_b"), F.col("up").alias("up_b"))
-    base = ["entity_type", "kind", "value"]
-    hits = None
-    for a, b in (("code", "code_b"), ("code", "up_b"), ("up", "code_b")):
-        on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in base] + [F.col(f"l.{a}") == F.col(f"r.{b}"), F.col("anchor") != F.col("other")]
-        h = left.alias("l").join(right.alias("r"), on).select("anchor", "other", "l.entity_type", "l.kind")
-        hits = h if hits is None else hits.unionByName(h)
+    joined = side(from_anchor, "anchor", ("code", "code", "up")).join(side(keyed, "other", ("code", "up", "code")), ["entity_type", "kind", "value", "key"])
+    hits = joined.where("anchor <> other").select("anchor", "other", "entity_type", "kind")
     reasons = F.array_sort(F.array_union(F.collect_set(F.concat(F.lit("shared_"), "kind")), F.array(F.lit("embedding_threshold"), F.lit("shared_taxonomy"))))
-    return hits.distinct().groupBy("anchor", "other", "entity_type").agg(reasons.alias("reasons"))
+    return hits.groupBy("anchor", "other", "entity_type").agg(reasons.alias("reasons"))
 
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,23 +165,50 @@ def candidates(entities: DataFrame, changed: DataFrame, settings: Blocking, ever
     return conform(pairs.withColumn("pair_key", text.pair_key(F.col("entity_a_id"), F.col("entity_b_id"))), "candidates")
 
 
-def truncated(near: DataFrame, gated: DataFrame, k: int) -> DataFrame:
-    """anchor, kept, truncated: others from the threshold on that rank behind the k-th gate-passing one."""
+def overview(near: DataFrame, entities: DataFrame, anchors: DataFrame, settings: Blocking) -> DataFrame:
+    """A row for each entity type and one for all: what the gate and the cap did to the pairs above the threshold.
+
+    near has the pairs above the threshold (:func:`cosine_first`). Pairs of an anchor are examined in the order of their similarity until
+    ``max_candidates`` of them pass the gate; what is left is truncated. Counts of failures are of examined pairs.
+    """
+    k = settings.max_candidates
     w = W.partitionBy("entity_type", "anchor").orderBy(F.desc("similarity"), "other")
-    flagged = near.join(gated.select("anchor", "other", "entity_type", F.lit(1).alias("passed")), ["anchor", "other", "entity_type"], "left").withColumn("passed", F.coalesce("passed", F.lit(0)))
-    ranked = flagged.withColumn("kept_so_far", F.sum("passed").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    return ranked.groupBy("anchor", "entity_type").agg(F.least(F.sum("passed"), F.lit(k)).alias("kept"), F.count_if(F.coalesce("kept_so_far", F.lit(0)) >= k).alias("truncated"))
-
-
-def overview(near: DataFrame, gated: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """Of each type: anchors, those with candidates, those at the cap, above-threshold pairs, gate-passing pairs and truncated ones."""
-    per = truncated(near, gated, k)
-    counts = near.groupBy("anchor", "entity_type").agg(F.count("*").alias("above"))
-    every = anchors.select(F.col("entity_id").alias("anchor"), "entity_type").distinct().join(counts, ["anchor", "entity_type"], "left").join(per, ["anchor", "entity_type"], "left").na.fill(0)
-    return every.groupBy("entity_type").agg(
-        F.count("*").alias("anchors"), F.count_if(F.col("kept") > 0).alias("anchors_with_candidates"), F.count_if(F.col("kept") == k).alias("anchors_at_cap"),
-        F.sum("above").alias("pairs_above_threshold"), F.sum("kept").alias("pairs_kept"), F.sum("truncated").alias("pairs_truncated"),
+    passed = (F.col("by_taxonomy") & F.col("by_other")).cast("int")
+    ranked = judged(near, entities, settings.channels).withColumn("passed", passed).withColumn("before", F.coalesce(F.sum("passed").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    seen, kept = F.col("before") < k, (F.col("before") < k) & (F.col("passed") == 1)
+    tax, other = F.col("by_taxonomy"), F.col("by_other")
+    per = ranked.groupBy("entity_type", "anchor").agg(
+        F.count_if(seen).alias("examined"), F.count_if(kept).alias("kept"), F.count_if(~seen).alias("truncated"), F.min(F.when(kept, F.col("similarity"))).alias("last"),
+        F.count_if(seen & ~tax & other).alias("taxonomy_failed"), F.count_if(seen & tax & ~other).alias("non_taxonomy_failed"), F.count_if(seen & ~tax & ~other).alias("both_failed"),
     )
+    pairs = ranked.where(kept).select("entity_type", F.least("anchor", "other").alias("a"), F.greatest("anchor", "other").alias("b")).distinct().groupBy("entity_type").agg(F.count("*").alias("pairs_kept"))
+    own = anchors.select("entity_type", F.col("entity_id").alias("anchor")).distinct().join(per, ["entity_type", "anchor"], "left").na.fill(0, ["examined", "kept", "truncated", "taxonomy_failed", "non_taxonomy_failed", "both_failed"])
+    counts = own.groupBy("entity_type").agg(
+        F.count("*").alias("active_anchors"), F.count_if(F.col("examined") > 0).alias("anchors_with_above_threshold"), F.count_if(F.col("kept") > 0).alias("anchors_with_retained_candidates"),
+        F.count_if(F.col("kept") >= k).alias("anchors_at_candidate_cap"), F.sum("examined").alias("above_threshold_examined"), F.sum("truncated").alias("truncated_above_threshold"),
+        F.coalesce(F.sum("last"), F.lit(0.0)).alias("last_retained_similarity_sum"), F.count("last").alias("last_retained_similarity_count"), *[F.sum(c).alias(c) for c in ("taxonomy_failed", "non_taxonomy_failed", "both_failed")],
+    ).join(pairs, "entity_type", "left").na.fill(0, ["pairs_kept"])
+    numbers = [c for c in counts.columns if c != "entity_type"]
+    total = counts.groupBy().agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers]).select(F.lit("all").alias("entity_type"), *numbers)
+    every = counts.select("entity_type", *numbers).unionByName(total)
+    active, retained = F.col("active_anchors"), F.col("anchors_with_retained_candidates")
+    every = every.withColumn("overlap_blocked", F.col("taxonomy_failed") + F.col("non_taxonomy_failed") + F.col("both_failed"))
+    every = every.withColumn("no_above_threshold", active - F.col("anchors_with_above_threshold")).withColumn("above_threshold_but_no_retained", F.col("anchors_with_above_threshold") - retained)
+    percent = {n: F.when(active > 0, F.round(100 * F.col(n) / active, 1)).otherwise(0.0) for n in ("no_above_threshold", "above_threshold_but_no_retained", "anchors_at_candidate_cap")}
+    signals = (("no_above_threshold", "threshold_may_be_high"), ("above_threshold_but_no_retained", "overlap_prefilter_may_be_strict"), ("anchors_at_candidate_cap", "max_candidates_may_be_low"))
+    said = F.concat_ws(",", *[F.when(percent[n] >= 20, F.lit(s)) for n, s in signals])
+    return every.select(
+        "*", F.coalesce(F.try_divide("last_retained_similarity_sum", "last_retained_similarity_count"), F.lit(0.0)).alias("avg_last_retained_similarity"), F.coalesce(F.try_divide("truncated_above_threshold", "anchors_at_candidate_cap"), F.lit(0.0)).alias("avg_truncated_per_capped"),
+        *[c.alias(f"percent_{n}") for n, c in percent.items()], F.when(active <= 0, "no_active_anchors").when(said == "", "no_obvious_blocking_pressure").otherwise(said).alias("heuristic"),
+    )
+
+
+def embedding_uniqueness(entities: DataFrame) -> DataFrame:
+    """Of each type: vectors of 8 numbers or more, how many differ in the first 8 rounded to 3 places, and the percentage that share theirs."""
+    print_ = F.array_join(F.transform(F.slice("embedding_vector", 1, 8), lambda x: F.format_string("%.3f", F.round(x, 3) + 0.0)), ",")
+    own = entities.where(F.size("embedding_vector") >= 8).groupBy("entity_type", print_.alias("p")).agg(F.count("*").alias("n"))
+    total, unique = F.sum("n"), F.count("*")
+    return own.groupBy("entity_type").agg(total.alias("total"), unique.alias("unique_embeddings"), F.round(100 * (1 - unique / total), 1).alias("shared_percent"))
 
 
-__all__ = ["candidates", "cosine_first", "empty", "gate_first", "overview", "top_k", "truncated", "with_similarity"]
+__all__ = ["EVALUATORS", "candidates", "cosine_first", "embedding_uniqueness", "empty", "gate_first", "judged", "overview", "top_k", "with_similarity"]

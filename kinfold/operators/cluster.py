@@ -73,7 +73,7 @@ def solve(nodes: list[str], weights: dict[str, dict[str, float]], max_iter: int)
 
 
 def _oldest_other(size: dict[int, int], gain: dict[int, float], own: int) -> set[int]:
-    return {next((k for k in sorted(size) if k != own and k not in gain), own)} - {own}
+    return {next((k for k in size if k != own and k not in gain), own)} - {own}  # size has its clusters by age
 
 
 def correlation_clusters(finalized: DataFrame, config: Config) -> DataFrame:
@@ -81,7 +81,7 @@ def correlation_clusters(finalized: DataFrame, config: Config) -> DataFrame:
     c, pivot = config.clustering, config.scoring.maybe_threshold
     key = lambda side: F.concat_ws("\x01", "entity_type", f"entity_{side}_id")
     edges = finalized.select(key("a").alias("a"), key("b").alias("b"), signed_weight(F.col("final_score"), pivot).alias("w"), "review_eligible")
-    label = components(edges.where(F.col("review_eligible") & (F.col("w") >= c.min_edge_weight) & (F.col("w") > 0)).select("a", "b"))
+    label = components(edges.where(F.col("review_eligible") & (F.col("w") >= c.min_edge_weight)).select("a", "b"))
     inside = edges.join(label.select(F.col("node").alias("a"), "component"), "a").join(label.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").where("component = other").select("component", "a", "b", "w")
 
     def one(t: pa.Table) -> pa.Table:
@@ -109,7 +109,8 @@ def cluster_stats(eligible: DataFrame, assignment: DataFrame, config: Config) ->
     )
     own = assignment.groupBy("cluster_id", "entity_type").agg(F.count("*").alias("cluster_size")).join(stats, "cluster_id", "left").na.fill(0)
     own = own.withColumn("cluster_risk_score", F.col("negative_edge_penalty") / F.col("cluster_size")).withColumn("algorithm_version", F.lit(config.clustering.algorithm))
-    return conform(own, "clusters"), conform(bridge, "cluster_pairs")
+    assignment_score = signed_weight(F.col("final_score"), config.scoring.maybe_threshold)
+    return conform(own, "clusters"), conform(bridge.withColumn("assignment_score", assignment_score).withColumn("assignment_method", F.lit(config.clustering.algorithm)), "cluster_pairs")
 
 
 def cluster_pairs(finalized: DataFrame, removed: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -130,9 +131,10 @@ def eligible(finalized: DataFrame, config: Config) -> Column:
 
 
 def review_queue(finalized: DataFrame, removed: DataFrame, clusters: DataFrame, pairs: DataFrame, config: Config) -> DataFrame:
-    """Eligible pairs with priority 0.55 score + 0.25 similarity + 0.20 risk of their cluster (0 without one)."""
+    """Eligible pairs, the most urgent first: priority 0.55 score + 0.25 similarity + 0.20 risk of their cluster (0 without one); ties by key."""
     risk = pairs.select("pair_key", "cluster_id").join(clusters.select("cluster_id", "cluster_risk_score"), "cluster_id", "left")
     own = finalized.where(eligible(finalized, config)).join(removed.select("pair_key"), "pair_key", "left_anti").join(risk, "pair_key", "left")
     own = own.withColumn("cluster_risk_score", F.coalesce("cluster_risk_score", F.lit(0.0)))
     priority = 0.55 * F.col("final_score") + 0.25 * F.col("embedding_similarity") + 0.20 * F.col("cluster_risk_score")
-    return conform(own.withColumn("priority_score", priority), "review_queue")
+    own = own.withColumn("priority_score", priority).withColumn("team_id", F.lit(config.metadata.team_id)).withColumn("scope_id", F.lit(config.metadata.scope_id))
+    return conform(own, "review_queue").orderBy(F.desc("priority_score"), "pair_key")

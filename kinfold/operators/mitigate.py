@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text
 from ..schemas import conform, empty
+from ..storage import written
 from .score import reason_counts
 
 
@@ -30,17 +31,18 @@ def prior_state(previous: DataFrame) -> DataFrame:
 
 
 def touched(pairs: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """Pairs with an end in ids; all of them where ids is None."""
+    """Pairs with an end in ids (entity_id, and entity_type if there is one: an organization and a service may share an id); all of them where ids is None."""
     if ids is None:
         return pairs
-    ends = ids.select(F.col("entity_id").alias("__id")).distinct()
-    hit = pairs.select("pair_key", F.explode(F.array("entity_a_id", "entity_b_id")).alias("__id")).join(ends, "__id", "left_semi").select("pair_key").distinct()
-    return pairs.join(hit, "pair_key", "left_semi")
+    typed = [c for c in ("entity_type",) if c in ids.columns]
+    ends = ids.select(F.col("entity_id").alias("__id"), *typed).distinct()
+    hit = pairs.select("pair_key", "entity_type", F.explode(F.array("entity_a_id", "entity_b_id")).alias("__id")).join(ends, ["__id", *typed], "left_semi").select("pair_key", "entity_type").distinct()
+    return pairs.join(hit, ["pair_key", "entity_type"], "left_semi").select(pairs.columns)
 
 
 def untouched(pairs: DataFrame, ids: DataFrame | None) -> DataFrame:
     """The other pairs; none where ids is None."""
-    return pairs.limit(0) if ids is None else pairs.join(touched(pairs, ids).select("pair_key"), "pair_key", "left_anti")
+    return pairs.limit(0) if ids is None else pairs.join(touched(pairs, ids).select("pair_key", "entity_type"), ["pair_key", "entity_type"], "left_anti").select(pairs.columns)
 
 
 def finalize(scored: DataFrame, reasons: DataFrame, removed_entities: DataFrame, config: Config) -> DataFrame:
@@ -85,13 +87,13 @@ def apply_mitigation(scored: DataFrame, reasons: DataFrame, removed_entities: Da
         return Mitigated(empty(session, "finalized"), empty(session, "mitigation_events"), gone, remap, empty(session, "pair_state"))
     if no_change and scored.isEmpty():
         return Mitigated(empty(session, "finalized"), empty(session, "mitigation_events"), empty(session, "removed"), remap, prior)
-    finalized = finalize(scored, reasons, removed_entities, config)
+    finalized, prior = written(finalize(scored, reasons, removed_entities, config), "finalized"), written(prior, "prior")
     events = finalized.where("mitigation_reason is not null").select(
         "pair_key", "mitigation_reason", F.struct("embedding_similarity", F.col("reason_count").cast("long").alias("reason_count")).alias("evidence"),
         "pre_mitigation_prediction", F.col("predicted_duplicate").alias("post_mitigation_prediction"),
     )
     removed = reconcile(finalized, prior, removed_entities, impacted)
-    return Mitigated(conform(finalized, "finalized"), conform(events, "mitigation_events"), removed, remap, next_state(finalized, prior, impacted, config.metadata.scope_id))
+    return Mitigated(conform(finalized, "finalized"), conform(events, "mitigation_events"), written(removed, "removed"), remap, next_state(finalized, prior, impacted, config.metadata.scope_id))
 
 
 def cleanup_histogram(removed: DataFrame) -> DataFrame:

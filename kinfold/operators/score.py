@@ -18,7 +18,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 def prepared(entities: DataFrame) -> DataFrame:
     """What pairs compare of an entity, computed once for each entity."""
     return entities.select(
-        "entity_id", "entity_type", "name", F.col("emails").alias("shared_email"), F.col("phones").alias("shared_phone"), domain.domain_tokens(F.col("emails"), F.col("websites")).alias("tokens"),
+        "entity_id", "entity_type", "name", F.col("emails").alias("shared_email"), F.col("phones").alias("shared_phone"), domain.domain_tokens(F.col("emails"), F.col("websites")).alias("tokens"), domain.contact_domains(F.col("emails"), F.col("websites")).alias("domains"),
         taxonomy.code_set(F.col("taxonomies"), F.col("services_rollup")).alias("codes"), text.canonical_addresses(F.col("locations")).alias("shared_address"), text.canonical_identifiers(F.col("identifiers")).alias("shared_identifier"),
     )
 
@@ -33,30 +33,35 @@ def paired(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     return out
 
 
-def _signals(entity_type: str, config: Config) -> list[tuple[str, float]]:
-    own = [s for s in SIGNALS if s != "shared_identifier" or entity_type == "organization"]
-    return [(s, config.scoring.weights[s]) for s in own if config.scoring.weights.get(s, 0) > 0]
+def _signals(config: Config) -> list[tuple[str, float]]:
+    return [(s, config.scoring.weights[s]) for s in SIGNALS if config.scoring.weights.get(s, 0) > 0]
 
 
 def with_signals(pairs: DataFrame, config: Config) -> DataFrame:
-    """signals: an array with the raw and weighted contribution and the values of each enabled signal; deterministic_section_score."""
+    """signals: an array with the raw and weighted contribution and the values of each enabled signal; deterministic_section_score.
+
+    Identifiers are a signal of organizations alone: what counts is the type of each pair, whichever the run is for.
+    """
     best = taxonomy.best_overlap(F.col("l.codes"), F.col("r.codes"))
     pairs = pairs.withColumn("best", best).withColumn("domain_score", domain.domain_overlap(F.col("l.tokens"), F.col("r.tokens")))
     null = F.lit(None).cast("string")
-    entries, total = [], 0.0
-    for signal, weight in _signals(config.metadata.entity_type, config):
-        total += weight
+    entries, total = [], F.lit(0.0)
+    for signal, weight in _signals(config):
+        applies = F.col("entity_type") == "organization" if signal == "shared_identifier" else F.lit(True)
+        total = total + F.when(applies, F.lit(weight)).otherwise(0.0)
+        similarity = null.cast("double")
         if signal == "shared_domain":
-            hosts = [F.transform(F.col(f"{s}.tokens"), lambda x: x["host"]) for s in "lr"]
-            raw, values = F.col("domain_score"), (F.array_min(F.array_intersect(*hosts)), *[text.reason_text(F.array_sort(h), F.lit(signal)) for h in hosts])
+            raw, values = F.col("domain_score"), (F.array_min(F.array_intersect("l.domains", "r.domains")), *[text.reason_text(F.col(f"{s}.domains"), F.lit(signal)) for s in "lr"])
         elif signal == "shared_taxonomy":
-            raw, values = F.col("best.score"), (F.col("best.ancestor"), *[text.reason_text(F.col(f"{s}.codes"), F.lit(signal)) for s in "lr"])
+            raw, values, similarity = F.col("best.score"), (F.col("best.ancestor"), *[text.reason_text(F.col(f"{s}.codes"), F.lit(signal)) for s in "lr"]), F.col("best.score")
         else:
             left, right = F.col(f"l.{signal}"), F.col(f"r.{signal}")
-            raw, values = text.overlap_ratio(left, right), (F.array_min(F.array_intersect(left, right)), text.reason_text(left, F.lit(signal)), text.reason_text(right, F.lit(signal)))
-        entries.append(_reason(F.lit(signal), raw, raw * weight, F.lit(weight), *values, null.cast("double")))
+            matched = text.reason_text(F.array_compact(F.array(F.array_min(F.array_intersect(left, right)))), F.lit(signal))
+            raw, values = text.overlap_ratio(left, right), (matched, text.reason_text(left, F.lit(signal)), text.reason_text(right, F.lit(signal)))
+        raw = F.when(applies, raw).otherwise(0.0)
+        entries.append(_reason(F.lit(signal), raw, raw * weight, F.lit(weight), *values, similarity))
     signals = F.array(*entries)
-    score = F.least(F.aggregate(F.col("signals"), F.lit(0.0), lambda s, x: s + x["weighted_contribution"]) / (total or 1.0), F.lit(1.0))
+    score = F.least(F.aggregate(F.col("signals"), F.lit(0.0), lambda s, x: s + x["weighted_contribution"]) / F.when(total > 0, total).otherwise(1.0), F.lit(1.0))
     return pairs.withColumn("signals", signals).withColumn("deterministic_section_score", score)
 
 
@@ -136,15 +141,41 @@ def reason_patterns(scored: DataFrame, reasons: DataFrame, least: float = 0.95,
     return own.groupBy("pair_key").agg(F.array_join(F.array_sort(F.collect_set("match_type")), "|").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern").limit(top)
 
 
+#: Signals that are evidence by themselves; taxonomy and the model are not.
+STRONG = ("shared_email", "shared_phone", "shared_domain", "shared_address", "name_similarity", "shared_identifier")
+_BANDS = ("duplicate", "maybe", "below_maybe")
+
+
 def signal_bands(scored: DataFrame, reasons: DataFrame) -> DataFrame:
-    """Of each strong signal, pairs by outcome."""
-    own = reasons.where(F.col("match_type") != "shared_taxonomy").join(scored.select("pair_key", "pair_outcome"), "pair_key")
-    bands = ("duplicate", "maybe", "below_maybe")
-    return own.groupBy("match_type").agg(*[F.count_if(F.col("pair_outcome") == b).alias(b) for b in bands])
+    """Of each strong signal, pairs by outcome and in total."""
+    own = reasons.where(F.col("match_type").isin(*STRONG)).select("pair_key", "match_type").distinct().join(scored.select("pair_key", "pair_outcome"), "pair_key")
+    return own.groupBy("match_type").agg(F.count("*").alias("total"), *[F.count_if(F.col("pair_outcome") == b).alias(b) for b in _BANDS])
+
+
+def with_strong_signals(scored: DataFrame, reasons: DataFrame, config: Config) -> DataFrame:
+    """pair_key, pair_outcome, signal_count (strong signals), pre_ml_score and ml_gate_pass of each pair."""
+    strong = reasons.where(F.col("match_type").isin(*STRONG)).groupBy("pair_key").agg(F.countDistinct("match_type").alias("signal_count"))
+    before = composed({"deterministic": F.col("deterministic_section_score"), "nlp": F.col("nlp_section_score")}, config.scoring.section_weights)
+    own = scored.join(strong, "pair_key", "left").select("pair_key", "pair_outcome", F.coalesce("signal_count", F.lit(0)).alias("signal_count"), before.alias("pre_ml_score"))
+    return own.withColumn("ml_gate_pass", F.col("pre_ml_score") >= config.ml.gate)
+
 
+def signal_counts(scored: DataFrame, reasons: DataFrame, config: Config) -> DataFrame:
+    """Of each number of strong signals: pairs by outcome and in total, and the percentage that passes the model's gate."""
+    own = with_strong_signals(scored, reasons, config)
+    passed = F.round(100 * F.count_if("ml_gate_pass") / F.count("*"), 1)
+    return own.groupBy("signal_count").agg(F.count("*").alias("total"), *[F.count_if(F.col("pair_outcome") == b).alias(b) for b in _BANDS], passed.alias("gate_pass_percent"))
 
-def signal_counts(scored: DataFrame, reasons: DataFrame) -> DataFrame:
-    """Of each number of strong signals, pairs by outcome."""
-    strong = reasons.where(F.col("match_type") != "shared_taxonomy").groupBy("pair_key").agg(F.count("*").alias("signal_count"))
-    own = scored.join(strong, "pair_key", "left").withColumn("signal_count", F.coalesce("signal_count", F.lit(0)))
-    return own.groupBy("signal_count").agg(*[F.count_if(F.col("pair_outcome") == b).alias(b) for b in ("duplicate", "maybe", "below_maybe")])
+
+def gate_misses(scored: DataFrame, reasons: DataFrame, config: Config) -> DataFrame:
+    """One row: pairs with two strong signals or more that the gate keeps from the model."""
+    return with_strong_signals(scored, reasons, config).agg(F.count_if((F.col("signal_count") >= 2) & ~F.col("ml_gate_pass")).alias("missed"))
+
+
+def confidence_report(scored: DataFrame) -> DataFrame:
+    """One row: means of both confidences (0 without pairs), pairs at 0.999 or more and calibrated ones at 0.95 or more."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return scored.agg(
+        mean("legacy_confidence_score").alias("legacy_mean"), mean("shadow_confidence_score").alias("shadow_mean"), F.count_if(F.col("legacy_confidence_score") >= 0.999).alias("legacy_perfect"),
+        F.count_if(F.col("shadow_confidence_score") >= 0.95).alias("shadow_near_perfect"),
+    )

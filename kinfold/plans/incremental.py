@@ -31,7 +31,7 @@ def run_incremental(
     entities = written(orgs.unionByName(svcs, allowMissingColumns=True))
     index = clean.entity_index(entities)
     changed, removed_entities = clean.classify(index, ensure_frame(spark, previous_index, "entity_index"))
-    changed = written(changed)
+    changed, removed_entities = written(changed), written(removed_entities)
     delta = clean.delta_summary(changed, removed_entities)
     everything = explicit_backfill or force_rescore
     no_change = bool(delta.first().no_change)
@@ -40,12 +40,12 @@ def run_incremental(
     progress("score")
     scored, reasons = score.score_candidates(candidates, entities, config, scorer)
     scored, reasons = written(scored), written(reasons)
-    moved = changed.where("delta_class in ('added', 'changed')").select("entity_id").unionByName(removed_entities.select("entity_id"))
+    moved = changed.where("delta_class in ('added', 'changed')").select("entity_id", "entity_type").unionByName(removed_entities.select("entity_id", "entity_type"))
     progress("mitigate")
     m = mitigate.apply_mitigation(scored, reasons, removed_entities, ensure_frame(spark, previous_state, "pair_state"), config, None if everything else moved, scope_removed, no_change)
-    finalized, removed = written(m.finalized), written(m.removed)
+    finalized, removed = m.finalized, m.removed
     progress("cluster")
-    clusters, pairs = cluster.cluster_pairs(finalized, removed, config)
+    clusters, pairs = (written(df) for df in cluster.cluster_pairs(finalized, removed, config))
     progress("queue")
     queue = cluster.review_queue(finalized, removed, clusters, pairs, config)
     frames = {

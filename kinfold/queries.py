@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -216,19 +218,41 @@ def cosine_topk(spark, d):
     return block.top_k(near, 1).select("anchor", "other", F.col("rank").cast("long").alias("rank"))
 
 
-@query(WITH_PAIRS + """, above AS (SELECT a.id AS anchor, count(*) AS n FROM ent a JOIN ent b ON a.id <> b.id AND list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= 0.75 GROUP BY 1),
-kept AS (SELECT x AS anchor, count(*) AS n FROM (SELECT a AS x FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY 1)
-SELECT (SELECT count(*) FROM ent) AS anchors, (SELECT count(*) FROM kept) AS anchors_with_candidates, (SELECT sum(n)::BIGINT FROM above) AS pairs_above_threshold, (SELECT sum(n)::BIGINT FROM kept) AS pairs_kept""")
+_OVERVIEW = WITH + """, near AS MATERIALIZED (SELECT *, tax AND other_evidence AS passed FROM (SELECT a.id AS anchor, b.id AS other, round(list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]), 6) AS sim,
+  a.code = b.code OR (strpos(a.code, '-') = 0 AND split_part(b.code, '-', 1) = a.code) OR (strpos(b.code, '-') = 0 AND split_part(a.code, '-', 1) = b.code) AS tax, a.email = b.email OR a.phone = b.phone OR (a.city = b.city AND a.state = b.state) AS other_evidence
+  FROM ent a JOIN ent b ON a.id <> b.id WHERE list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= 0.75)),
+r AS MATERIALIZED (SELECT *, coalesce(sum(passed::INT) OVER (PARTITION BY anchor ORDER BY sim DESC, other ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM near),
+p AS (SELECT ent.id, coalesce(count(anchor) FILTER (before < 2), 0) AS examined, coalesce(count(*) FILTER (before < 2 AND passed), 0) AS kept, count(anchor) FILTER (before >= 2) AS truncated, min(sim) FILTER (before < 2 AND passed) AS last,
+  count(*) FILTER (before < 2 AND NOT tax AND other_evidence) AS t, count(*) FILTER (before < 2 AND tax AND NOT other_evidence) AS o, count(*) FILTER (before < 2 AND NOT tax AND NOT other_evidence) AS b FROM ent LEFT JOIN r ON anchor = ent.id GROUP BY 1),
+c AS (SELECT count(*) AS active_anchors, count(*) FILTER (examined > 0) AS anchors_with_above_threshold, count(*) FILTER (kept > 0) AS anchors_with_retained_candidates, count(*) FILTER (kept >= 2) AS anchors_at_candidate_cap, sum(examined)::BIGINT AS above_threshold_examined,
+  sum(truncated)::BIGINT AS truncated_above_threshold, round(sum(last), 4) AS last_retained_similarity_sum, count(last) AS last_retained_similarity_count, sum(t)::BIGINT AS taxonomy_failed, sum(o)::BIGINT AS non_taxonomy_failed, sum(b)::BIGINT AS both_failed,
+  (SELECT count(*) FROM (SELECT DISTINCT least(anchor, other), greatest(anchor, other) FROM r WHERE before < 2 AND passed)) AS pairs_kept, sum(t + o + b)::BIGINT AS overlap_blocked FROM p),
+q AS (SELECT *, active_anchors - anchors_with_above_threshold AS no_above_threshold, anchors_with_above_threshold - anchors_with_retained_candidates AS above_threshold_but_no_retained, round(last_retained_similarity_sum / last_retained_similarity_count, 4) AS avg_last_retained_similarity,
+  round(truncated_above_threshold / anchors_at_candidate_cap, 4) AS avg_truncated_per_capped, round(100 * anchors_at_candidate_cap / active_anchors, 1) AS percent_anchors_at_candidate_cap FROM c),
+z AS (SELECT *, round(100 * no_above_threshold / active_anchors, 1) AS percent_no_above_threshold, round(100 * above_threshold_but_no_retained / active_anchors, 1) AS percent_above_threshold_but_no_retained FROM q)
+SELECT kind AS entity_type, *, coalesce(nullif(concat_ws(',', CASE WHEN percent_no_above_threshold >= 20 THEN 'threshold_may_be_high' END, CASE WHEN percent_above_threshold_but_no_retained >= 20 THEN 'overlap_prefilter_may_be_strict' END,
+  CASE WHEN percent_anchors_at_candidate_cap >= 20 THEN 'max_candidates_may_be_low' END), ''), 'no_obvious_blocking_pressure') AS heuristic FROM z, (VALUES ('service'), ('all')) AS v(kind)"""
+
+
+@query(_OVERVIEW.replace("SELECT kind AS entity_type, *,", "SELECT kind AS entity_type, * EXCLUDE (kind),"))
 def blocking_overview(spark, d):
     e = written(_entities(spark, d))
-    b = _config().blocking
-    return block.overview(written(block.cosine_first(e, e, b.similarity_threshold)), block.gate_first(e, e, b), e, b.max_candidates).select("anchors", "anchors_with_candidates", "pairs_above_threshold", "pairs_kept")
+    settings = replace(_config().blocking, max_candidates=2)
+    near = block.cosine_first(e, e, settings.similarity_threshold).withColumn("similarity", F.round("similarity", 6))
+    out = block.overview(written(near), e, e, settings)
+    rounded = ("last_retained_similarity_sum", "avg_last_retained_similarity", "avg_truncated_per_capped")
+    return out.select(*[F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in out.columns])
+
+
+@query(WITH + """, f AS (SELECT list_transform(list_slice(vec, 1, 8), lambda x: round(x::DOUBLE, 3)) AS p FROM ent) SELECT 'service' AS entity_type, count(*) AS total, count(DISTINCT p) AS unique_embeddings, round(100 * (1 - count(DISTINCT p) / count(*)), 1) AS shared_percent FROM f""")
+def embedding_uniqueness(spark, d):
+    return block.embedding_uniqueness(_entities(spark, d))
 
 
 _DET = "(0.16 * same_email::INT + 0.22 * same_phone::INT + 0.04 * same_host::INT + 0.12 * tax + 0.34 * same_place::INT) / 0.88"
 _SCORED = WITH_PAIRS + f""", det AS (SELECT *, least(1.0, {_DET}) AS det, (na = nb)::INT AS nlp FROM pairs),
 scored AS (SELECT *, (0.4 * det + 0.4 * nlp) / 0.8 AS final, -0.25 + det * 0.88 + 0.4 * nlp AS odds FROM det),
-tiered AS (SELECT *, CASE WHEN final >= 0.7 THEN 'duplicate' WHEN final >= 0.62 THEN 'maybe' ELSE 'below_maybe' END AS outcome FROM scored)"""
+tiered AS MATERIALIZED (SELECT *, CASE WHEN final >= 0.7 THEN 'duplicate' WHEN final >= 0.62 THEN 'maybe' ELSE 'below_maybe' END AS outcome FROM scored)"""
 
 
 def _scored(spark, d):
@@ -256,10 +280,14 @@ _REASONS = _SCORED + """, reasons AS (SELECT a, b, outcome, odds, x.m AS match_t
 {'m': 'shared_domain', 'w': 0.04 * same_host::INT}, {'m': 'shared_taxonomy', 'w': 0.12 * tax}, {'m': 'shared_address', 'w': 0.34 * same_place::INT}, {'m': 'name_similarity', 'w': nlp::DOUBLE}]) AS x FROM tiered) WHERE x.w > 0)"""
 
 
-@query(_REASONS + " SELECT a, b, match_type, round(weighted, 9) AS weighted FROM reasons")
+@query(_SCORED + """, r AS (SELECT a, b, unnest([{'m': 'shared_email', 'raw': same_email::INT::DOUBLE, 'w': 0.16, 'v': ea, 'x': ea, 'y': eb, 's': NULL::DOUBLE}, {'m': 'shared_phone', 'raw': same_phone::INT::DOUBLE, 'w': 0.22, 'v': pa, 'x': pa, 'y': pb, 's': NULL},
+{'m': 'shared_domain', 'raw': same_host::INT::DOUBLE, 'w': 0.04, 'v': split_part(ea, '@', 2), 'x': split_part(ea, '@', 2), 'y': split_part(eb, '@', 2), 's': NULL}, {'m': 'shared_taxonomy', 'raw': tax, 'w': 0.12, 'v': tax_value, 'x': ca, 'y': cb, 's': tax},
+{'m': 'shared_address', 'raw': same_place::INT::DOUBLE, 'w': 0.34, 'v': la, 'x': la, 'y': lb, 's': NULL}, {'m': 'name_similarity', 'raw': nlp::DOUBLE, 'w': 1.0, 'v': NULL, 'x': na, 'y': nb, 's': nlp::DOUBLE}]) AS z FROM tiered)
+SELECT a, b, z.m AS match_type, z.raw AS raw_contribution, round(z.raw * z.w, 9) AS weighted_contribution, z.w::DOUBLE AS signal_weight, z.v AS matched_value, z.x AS entity_a_value, z.y AS entity_b_value, z.s AS similarity_score FROM r WHERE z.raw > 0""")
 def pair_reasons(spark, d):
     ids = F.split("pair_key", "__")
-    return _scored(spark, d)[1].select(ids[0].alias("a"), ids[1].alias("b"), "match_type", F.round("weighted_contribution", 9).alias("weighted"))
+    r = _scored(spark, d)[1]
+    return r.select(ids[0].alias("a"), ids[1].alias("b"), "match_type", "raw_contribution", F.round("weighted_contribution", 9).alias("weighted_contribution"), "signal_weight", "matched_value", "entity_a_value", "entity_b_value", "similarity_score")
 
 
 @query(_REASONS + " SELECT a || '__' || b AS pair_key, count(*) AS reason_count FROM reasons GROUP BY a, b")
@@ -267,16 +295,30 @@ def reason_count(spark, d):
     return score.reason_counts(_scored(spark, d)[1])
 
 
-@query(_REASONS + """ SELECT match_type, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'maybe') AS maybe, count(*) FILTER (outcome = 'below_maybe') AS below_maybe
+@query(_REASONS + """ SELECT match_type, count(*) AS total, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'maybe') AS maybe, count(*) FILTER (outcome = 'below_maybe') AS below_maybe
 FROM reasons WHERE match_type <> 'shared_taxonomy' GROUP BY 1""")
 def signal_bands(spark, d):
     return score.signal_bands(*_scored(spark, d))
 
 
-@query(_REASONS + """, n AS (SELECT a, b, any_value(outcome) AS outcome, count(*) FILTER (match_type <> 'shared_taxonomy') AS signal_count FROM reasons GROUP BY a, b)
-SELECT signal_count, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'maybe') AS maybe, count(*) FILTER (outcome = 'below_maybe') AS below_maybe FROM n GROUP BY 1""")
+_COUNTED = _REASONS + """, n AS (SELECT a, b, count(*) FILTER (match_type <> 'shared_taxonomy') AS signal_count FROM reasons GROUP BY a, b), g AS (SELECT t.outcome, t.final >= 0.5 AS gated, coalesce(signal_count, 0) AS signal_count FROM tiered t LEFT JOIN n ON t.a = n.a AND t.b = n.b)"""
+
+
+@query(_COUNTED + """ SELECT signal_count, count(*) AS total, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'maybe') AS maybe, count(*) FILTER (outcome = 'below_maybe') AS below_maybe,
+round(100 * count(*) FILTER (gated) / count(*), 1) AS gate_pass_percent FROM g GROUP BY 1""")
 def signal_counts(spark, d):
-    return score.signal_counts(*_scored(spark, d))
+    return score.signal_counts(*_scored(spark, d), _config())
+
+
+@query(_COUNTED + " SELECT count(*) FILTER (signal_count >= 2 AND NOT gated) AS missed FROM g")
+def gate_misses(spark, d):
+    return score.gate_misses(*_scored(spark, d), _config())
+
+
+@query(_SCORED + """ SELECT round(avg(final), 6) AS legacy_mean, round(avg(1 / (1 + exp(-odds))), 6) AS shadow_mean, count(*) FILTER (final >= 0.999) AS legacy_perfect, count(*) FILTER (1 / (1 + exp(-odds)) >= 0.95) AS shadow_near_perfect FROM tiered""")
+def confidence_report(spark, d):
+    r = score.confidence_report(_scored(spark, d)[0])
+    return r.select(F.round("legacy_mean", 6).alias("legacy_mean"), F.round("shadow_mean", 6).alias("shadow_mean"), "legacy_perfect", "shadow_near_perfect")
 
 
 @query(_REASONS + """, p AS (SELECT a, b, string_agg(match_type, '|' ORDER BY match_type) AS pattern FROM reasons WHERE 1 / (1 + exp(-odds)) >= 0.7 GROUP BY a, b)
@@ -292,21 +334,21 @@ def score_summary(spark, d):
 
 # mitigation and state: entities whose number is a multiple of 10 are gone, those of 3 changed, earlier pairs are all scored ones of even numbers and some invented ones
 
-_STATE = _REASONS.replace("WITH ", "WITH ", 1) + """, gone AS (SELECT id FROM ent WHERE CAST(substr(id, 2) AS INT) % 10 = 0), hit AS (SELECT id FROM ent WHERE CAST(substr(id, 2) AS INT) % 3 = 0 OR CAST(substr(id, 2) AS INT) % 10 = 0),
-n AS (SELECT a, b, count(*) AS reason_count FROM reasons GROUP BY a, b),
-fin AS (SELECT t.a, t.b, final, sim, CASE WHEN t.a IN (FROM gone) OR t.b IN (FROM gone) THEN 'entity_deleted' WHEN outcome = 'duplicate' AND sim < 0.9999 AND n.reason_count < 5 THEN 'low_evidence_override' END AS why, outcome FROM tiered t JOIN n ON t.a = n.a AND t.b = n.b),
-el AS (SELECT *, outcome <> 'below_maybe' AND why IS NULL AS eligible FROM fin),
-prior AS (SELECT a, b FROM tiered WHERE CAST(substr(a, 2) AS INT) % 2 = 0 UNION ALL SELECT id, 'z' || id FROM ent WHERE CAST(substr(id, 2) AS INT) % 13 = 0),
-aff AS (SELECT * FROM prior WHERE a IN (FROM hit) OR b IN (FROM hit)),
+_STATE = _REASONS + """, gone AS MATERIALIZED (SELECT id FROM ent WHERE CAST(substr(id, 2) AS INT) % 10 = 0), hit AS MATERIALIZED (SELECT id FROM ent WHERE CAST(substr(id, 2) AS INT) % 3 = 0 OR CAST(substr(id, 2) AS INT) % 10 = 0),
+n AS MATERIALIZED (SELECT a, b, count(*) AS reason_count FROM reasons GROUP BY a, b),
+x AS MATERIALIZED (SELECT t.*, t.a IN (FROM gone) AS ga, t.b IN (FROM gone) AS gb, n.reason_count FROM tiered t JOIN n ON t.a = n.a AND t.b = n.b),
+el AS MATERIALIZED (SELECT *, outcome <> 'below_maybe' AND why IS NULL AS eligible FROM (SELECT a, b, final, sim, outcome, CASE WHEN ga OR gb THEN 'entity_deleted' WHEN outcome = 'duplicate' AND sim < 0.9999 AND reason_count < 5 THEN 'low_evidence_override' END AS why FROM x)),
+prior AS MATERIALIZED (SELECT a, b FROM tiered WHERE CAST(substr(a, 2) AS INT) % 2 = 0 UNION ALL SELECT id, 'z' || id FROM ent WHERE CAST(substr(id, 2) AS INT) % 13 = 0),
+flagged AS MATERIALIZED (SELECT p.a, p.b, p.a IN (FROM gone) AS ga, p.b IN (FROM gone) AS gb, p.a IN (FROM hit) AS ha, p.b IN (FROM hit) AS hb FROM prior p), aff AS MATERIALIZED (SELECT * FROM flagged WHERE ha OR hb),
 removed AS (SELECT a, b, why AS reason FROM el WHERE why IS NOT NULL UNION ALL
-  SELECT p.a, p.b, CASE WHEN p.a IN (FROM gone) OR p.b IN (FROM gone) THEN 'entity_deleted' WHEN el.a IS NULL THEN 'candidate_lost' ELSE 'score_dropped' END FROM aff p LEFT JOIN el ON p.a = el.a AND p.b = el.b WHERE NOT coalesce(el.eligible, false) AND el.why IS NULL)"""
+  SELECT p.a, p.b, CASE WHEN p.ga OR p.gb THEN 'entity_deleted' WHEN el.a IS NULL THEN 'candidate_lost' ELSE 'score_dropped' END FROM aff p LEFT JOIN el ON p.a = el.a AND p.b = el.b WHERE NOT coalesce(el.eligible, false) AND el.why IS NULL)"""
 
 
 def _mitigated(spark, d, scope_removed=False):
     config = Config.from_overrides({"nlp": {"algorithm": "equal", "number_veto": False}, "mitigation": {"enabled": True, "min_embedding_similarity": 0.9999, "min_reasons": 5}}, "service")
     s, r = _scored(spark, d)
     n = F.substring("id", 2, 9).try_cast("int")  # the planner infers this on other ids, too
-    ids = flat_entities(spark, d).select("id", n.alias("n"))
+    ids = written(flat_entities(spark, d).select("id", n.alias("n")))
     gone, hit = ids.where("n % 10 = 0").select(F.col("id").alias("entity_id")), ids.where("n % 10 = 0 or n % 3 = 0").select(F.col("id").alias("entity_id"))
     prior = s.where(F.substring("entity_a_id", 2, 9).try_cast("int") % 2 == 0).select("entity_a_id", "entity_b_id").unionByName(ids.where("n % 13 = 0").select(F.col("id").alias("entity_a_id"), F.concat(F.lit("Z"), "id").alias("entity_b_id")))
     return mitigate.apply_mitigation(s, r, gone, prior.withColumn("retained_flag", F.lit(True)).withColumn("entity_type", F.lit("service")), config, hit, scope_removed)
@@ -327,7 +369,7 @@ def cleanup_histogram(spark, d):
     return mitigate.cleanup_histogram(_mitigated(spark, d).removed)
 
 
-@query(_STATE + " SELECT a || '__' || b AS pair_key FROM el WHERE eligible UNION SELECT a || '__' || b FROM prior WHERE NOT (a IN (FROM hit) OR b IN (FROM hit))")
+@query(_STATE + " SELECT a || '__' || b AS pair_key FROM el WHERE eligible UNION SELECT a || '__' || b FROM flagged WHERE NOT (ha OR hb)")
 def state_merge(spark, d):
     return _mitigated(spark, d).state.select("pair_key")
 
@@ -376,11 +418,31 @@ def correlation_clusters(spark, d):
     return cluster.correlation_clusters(_scored(spark, d)[0], _config())
 
 
-@query(_SCORED + " SELECT a || '__' || b AS pair_key, round(0.55 * final + 0.25 * sim, 5) AS priority FROM tiered WHERE outcome <> 'below_maybe'")
-def review_queue(spark, d):
+def _clustered(spark, d):
     s = _scored(spark, d)[0]
-    q = cluster.review_queue(s, empty(spark, "removed"), empty(spark, "clusters"), empty(spark, "cluster_pairs"), _config())
-    return q.select("pair_key", F.round("priority_score", 5).alias("priority"))
+    c = cluster.components(s.where("final_score > 0.62").select(F.col("entity_a_id").alias("a"), F.col("entity_b_id").alias("b")))
+    own = c.select(F.lit("service").alias("entity_type"), F.col("component").alias("cluster_id"), "node")
+    return s, *cluster.cluster_stats(s.where("review_eligible"), own, _config())
+
+
+_QUEUE = _COMPONENTS + """, w AS (SELECT x.component, a, b, CASE WHEN final >= 0.7 THEN (final - 0.7) / 0.3 ELSE (final - 0.7) / 0.7 END AS w FROM tiered JOIN comp x ON x.node = a JOIN comp y ON y.node = b AND y.component = x.component WHERE outcome <> 'below_maybe'),
+z AS (SELECT component, count(*) AS cluster_size FROM comp GROUP BY 1), risk AS (SELECT component, sum(greatest(-w, 0)) / any_value(cluster_size) AS risk FROM w JOIN z USING (component) GROUP BY 1)"""
+
+
+@query(_QUEUE + """ SELECT t.a || '__' || t.b AS pair_key, t.a AS entity_a_id, t.b AS entity_b_id, round(final, 9) AS final_score, round(coalesce(risk, 0), 6) AS cluster_risk_score, round(0.55 * final + 0.25 * sim + 0.2 * coalesce(risk, 0), 5) AS priority_score,
+'team' AS team_id, 'scope' AS scope_id, 'service' AS entity_type FROM tiered t LEFT JOIN w ON w.a = t.a AND w.b = t.b LEFT JOIN risk USING (component) WHERE outcome <> 'below_maybe' AND CAST(substr(t.a, 2) AS INT) % 5 <> 0""")
+def review_queue(spark, d):
+    """Pairs in clusters with risk; those of every fifth entity have been removed."""
+    s, clusters, pairs = _clustered(spark, d)
+    removed = s.where(F.substring("entity_a_id", 2, 9).try_cast("int") % 5 == 0).select("pair_key", F.lit("gone").alias("cleanup_reason"))
+    q = cluster.review_queue(s, removed, clusters, pairs, _config())
+    digits = {"final_score": 9, "cluster_risk_score": 6, "priority_score": 5}
+    return q.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in q.columns])
+
+
+@query(_QUEUE + """ SELECT component AS cluster_id, w.a || '__' || w.b AS pair_key, round(CASE WHEN final >= 0.62 THEN (final - 0.62) / 0.38 ELSE (final - 0.62) / 0.62 END, 9) AS assignment_score FROM w JOIN tiered t ON t.a = w.a AND t.b = w.b""")
+def cluster_pairs(spark, d):
+    return _clustered(spark, d)[2].select("cluster_id", "pair_key", F.round("assignment_score", 9).alias("assignment_score"))
 
 
 @query()

@@ -25,8 +25,8 @@ _DDL = {
     "pair_state": "pair_key string, entity_a_id string, entity_b_id string, entity_type string, scope_id string, retained_flag boolean",
     "clusters": """cluster_id string, entity_type string, cluster_size bigint, pair_count bigint, avg_confidence_score double, max_confidence_score double, min_confidence_score double, objective_score double,
         positive_edge_sum double, negative_edge_penalty double, cluster_risk_score double, algorithm_version string""",
-    "cluster_pairs": "cluster_id string, pair_key string, entity_a_id string, entity_b_id string, entity_type string, final_score double",
-    "review_queue": "pair_key string, entity_a_id string, entity_b_id string, entity_type string, final_score double, embedding_similarity double, cluster_id string, cluster_risk_score double, priority_score double",
+    "cluster_pairs": "cluster_id string, pair_key string, is_reviewed boolean, review_decision boolean, assignment_score double, assignment_method string",
+    "review_queue": "pair_key string, entity_a_id string, entity_b_id string, final_score double, cluster_risk_score double, priority_score double, team_id string, scope_id string, entity_type string",
 }
 _DDL["finalized"] = _DDL["scored"] + ", reason_count bigint, mitigation_reason string"
 

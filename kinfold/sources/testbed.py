@@ -33,13 +33,14 @@ JOIN supplier s ON s.s_suppkey = m.s JOIN nation n ON n.n_nationkey = s.s_nation
 PAIRS = """
 SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) AS sim, a.name AS na, b.name AS nb, a.email = b.email AS same_email, a.phone = b.phone AS same_phone, a.city = b.city AND a.state = b.state AS same_place,
   split_part(a.email, '@', 2) = split_part(b.email, '@', 2) AS same_host,
-  CASE WHEN a.code = b.code THEN 1.0 ELSE 0.7 END AS tax, CASE WHEN length(a.code) <= length(b.code) THEN a.code ELSE b.code END AS tax_value
+  CASE WHEN a.code = b.code THEN 1.0 ELSE 0.7 END AS tax, CASE WHEN length(a.code) <= length(b.code) THEN a.code ELSE b.code END AS tax_value,
+  a.email AS ea, b.email AS eb, a.phone AS pa, b.phone AS pb, a.code AS ca, b.code AS cb, replace(a.city, '_', ' ') || ', ' || replace(a.state, '_', ' ') AS la, replace(b.city, '_', ' ') || ', ' || replace(b.state, '_', ' ') AS lb
 FROM ent a JOIN ent b ON a.id < b.id
 WHERE (a.code = b.code OR (strpos(a.code, '-') = 0 AND split_part(b.code, '-', 1) = a.code) OR (strpos(b.code, '-') = 0 AND split_part(a.code, '-', 1) = b.code))
   AND (a.email = b.email OR a.phone = b.phone OR (a.city = b.city AND a.state = b.state)) AND list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[]) >= 0.75"""
 
-WITH = f"WITH base AS ({BASE}), ent AS ({ENT.format(moved='list_transform(vec, lambda x: CAST(x + 0.02 AS FLOAT))')})"
-WITH_PAIRS = f"{WITH}, pairs AS ({PAIRS})"
+WITH = f"WITH base AS MATERIALIZED ({BASE}), ent AS MATERIALIZED ({ENT.format(moved='list_transform(vec, lambda x: CAST(x + 0.02 AS FLOAT))')})"
+WITH_PAIRS = f"{WITH}, pairs AS MATERIALIZED ({PAIRS})"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

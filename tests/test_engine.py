@@ -144,16 +144,72 @@ def test_features(spark):
     s = F.struct(*[F.col(c) for c in e.columns])
     pairs = e.where("entity_id = 'a'").select(F.lit("k").alias("pair_key"), s.alias("l")).crossJoin(e.where("entity_id = 'b'").select(s.alias("r")))
     f = features.pair_features(pairs).first()
-    assert f.both_have_email == f.same_city == f.shared_service_names == f.shared_taxonomy_count == f.percent_shared_taxonomies == 1.0
-    assert round(f.token_jaccard, 6) == 0.333333 and f.services_ratio == 1.0 and f.name_length_diff_in_tokens == 0.0
-    assert features.tfidf(pairs, None).first().tfidf_cosine == 0.0
-    model = spark.createDataFrame([("d", 2.0)], "term string, idf double")
-    assert features.tfidf(pairs, model).first().tfidf_cosine == pytest.approx(1.0)
+    assert f.both_have_email == f.same_city == f.shared_service_names == f.percent_shared_taxonomies == 1.0 and f.shared_taxonomy_count == 2.0
+    assert round(f.token_jaccard, 6) == 0.333333 and f.service_count_ratio == 1.0 and f.name_length_diff_in_tokens == 0.0
+    assert features.tfidf(pairs, None).first().tfidf_weighted_similarity == 0.0
+    model = spark.createDataFrame([("north", 2.0), ("clinic", 1.0)], "term string, idf double")
+    t = features.tfidf(pairs, model).first()
+    assert t.tfidf_weighted_similarity == pytest.approx(2 / 5**0.5) and t.max_distinctive_term_ratio == 0.5
     v = spark.createDataFrame([("bd-1800", [1.0, 0.0])], "code string, vector array<double>")
-    assert features.taxonomy_embeddings(pairs, v).first().taxonomy_similar_90_ratio == 0.5
+    assert features.taxonomy_embeddings(pairs, v).first().taxonomy_pairs_sim_gt_090_ratio == 0.25
 
 
-SMALL = "text_clean content_hash delta_classify delta_summary removed_entities domain_extract domain_tiers taxonomy_levels taxonomy_score number_veto gate_first_pairs final_score_tier review_ledger label_consensus dataset_cut top_decile rollup_array_agg".split()
+def test_features_of_nothing(spark):
+    """Empty and missing values give 0 and never null."""
+    rows = [service("a", name="", description=None, emails=[], phones=[], websites=[], taxonomies=[], locations=[]), service("b", name="x", description="", organization_name="Org")]
+    e = schemas.ensure_frame(spark, rows, "entity")
+    s = F.struct(*[F.col(c) for c in e.columns])
+    pairs = e.where("entity_id = 'a'").select(F.lit("k").alias("pair_key"), s.alias("l"), F.lit(None).cast("double").alias("embedding_similarity")).crossJoin(e.where("entity_id = 'b'").select(s.alias("r")))
+    f = features.pair_features(pairs).first().asDict()
+    zero = "name_jaro_winkler name_levenshtein name_token_sort name_complexity_ratio description_complexity_ratio num_services_ratio service_count_ratio description_length_ratio bigram_overlap org_name_levenshtein same_organization_id min_services".split()
+    assert not any(f[z] for z in zero) and all(v is not None for v in f.values())
+    for kind, n in (("organization", 25), ("service", 27)):
+        fed = features.model_features(pairs, kind).first()
+        assert len(fed) == n + 1 and fed.embedding_similarity == 0.0 and None not in tuple(fed)
+
+
+@pytest.mark.parametrize("a,b", [("North Clinic", "north clinik"), ("MARTHA", "marhta"), ("a b c", "c b a")])
+def test_name_features_against_difflib(spark, a, b):
+    from difflib import SequenceMatcher
+
+    row = spark.range(1).select(F.struct(F.lit(a).alias("name")).alias("l"), F.struct(F.lit(b).alias("name")).alias("r"))
+    f = features.pair_features(row, groups=(features.names,)).first()
+    x, y = a.lower(), b.lower()
+    assert f.name_levenshtein == pytest.approx(SequenceMatcher(None, x, y).ratio())
+    assert f.name_token_sort == pytest.approx(SequenceMatcher(None, " ".join(sorted(x.split())), " ".join(sorted(y.split()))).ratio())
+    assert f.name_jaro_winkler == pytest.approx(fuzzy.jaro_winkler(x, y))
+
+
+def test_signals_follow_the_type_of_each_pair(spark):
+    same = dict(identifiers=[{"system": "npi", "value": "7"}], taxonomies=[{"code": "BD-1800"}])
+    orgs, services = [service("x", **same), service("y", **same)], [service("x", **same), service("y", **same)]
+    config = Config.default("organization")
+    r = run_incremental(spark, orgs, services, config=config)
+    kinds = {(x.entity_type, m.match_type) for x in r["scored_pairs"].collect() for m in r["pair_reasons"].where(F.col("pair_key") == x.pair_key).collect()}
+    assert ("organization", "shared_identifier") in kinds
+    weights = config.scoring.weights
+    scores = {x.entity_type: x.deterministic_section_score for x in r["scored_pairs"].collect()}
+    own = sum(weights[s] for s in ("shared_email", "shared_phone", "shared_domain", "shared_taxonomy"))
+    place = weights["shared_address"]
+    assert scores["organization"] == pytest.approx(min(1, (own + place + weights["shared_identifier"]) / sum(weights.values())))
+    assert scores["service"] == pytest.approx((own + place) / (own + place))
+    # an organization that goes takes no service of the same id with it
+    again = run_incremental(spark, orgs[:1], services, r["entity_index"], r["pair_state"], config)
+    assert {(x.entity_type) for x in again["pair_state"].collect()} == {"service"}
+
+
+def test_queue_is_sorted_and_reasons_are_for_display(spark):
+    rows = [service(k, locations=[{"address_1": "1 N Main St", "city": "Chicago", "state": "IL"}], name=n) for k, n in (("a", "North Clinic"), ("b", "North Clinic"), ("c", "Other Name Entirely"))]
+    r = run_incremental(spark, None, rows, config=Config.default("service"))
+    queue = r["review_queue"].collect()
+    assert [f.name for f in schemas.schema("review_queue")] == r["review_queue"].columns and r["cluster_pairs"].columns == [f.name for f in schemas.schema("cluster_pairs")]
+    assert [q.priority_score for q in queue] == sorted((q.priority_score for q in queue), reverse=True) and queue[0].pair_key == "a__b" and queue[0].team_id == "team"
+    said = {x.match_type: x for x in r["pair_reasons"].where("pair_key = 'a__b'").collect()}
+    assert said["shared_address"].matched_value == "1 north main street, chicago, il" and said["shared_taxonomy"].similarity_score == 1.0 and said["shared_email"].similarity_score is None
+    assert said["shared_domain"].entity_a_value == "north.org" == said["shared_domain"].matched_value
+
+
+SMALL = "text_clean content_hash delta_classify delta_summary removed_entities domain_extract domain_tiers taxonomy_levels taxonomy_score number_veto gate_first_pairs final_score_tier review_ledger label_consensus dataset_cut top_decile feat_completeness feat_tfidf feat_taxonomy_embedding model_features_service pair_reasons blocking_overview review_queue rollup_array_agg".split()
 
 
 @pytest.mark.parametrize("name", SMALL)
