@@ -180,11 +180,14 @@ GROUPS = (completeness, tokens, geography, names, taxonomies, complexity, virtua
 
 
 def pair_features(pairs: DataFrame, l: str = "l", r: str = "r", groups=GROUPS) -> DataFrame:
-    """pairs with a column for each feature."""
+    """pairs with a column for each feature; embedding_similarity, where pairs has it, is a feature, too. Missing values are 0."""
     columns: dict[str, Column] = {}
     for g in groups:
         columns |= g(l, r)
-    return pairs.select("*", *[F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0)).alias(n) for n, c in columns.items()])
+    filled = lambda c: F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+    if "embedding_similarity" in pairs.columns:
+        pairs = pairs.withColumn("embedding_similarity", filled(F.col("embedding_similarity")))
+    return pairs.select("*", *[filled(c).alias(n) for n, c in columns.items()])
 
 
 #: What models of each entity type are fed, in order.
