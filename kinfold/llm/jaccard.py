@@ -11,6 +11,9 @@ The n-grams of a text form a set; all pairs of texts are wanted whose sets have
 3. Common prefix n-grams of a pair are counted over the cluster; pairs with l of them are candidates. Each set of a pair goes to
    the partition where the pair is verified, once, first by the suffix filter (the parts of both sets in fixed ranges of hashes bound their overlap), then exactly.
 
+Groups of near copies grow with the table and their pairs with its square, so no task holds all pairs or sets that it sees: pairs are
+sent on and counted in bounded portions, and large groups are verified by blocks of sets, each after its texts were read.
+
 Equal sets have equal fingerprints and are one set throughout; :func:`classes` counts their documents, only :func:`pairs` spreads
 pairs over them.
 """
@@ -32,6 +35,8 @@ from .text import grams, mix, words
 #: Buckets of the frequency sketch, in so many rows that are summed apart.
 _BUCKETS, _ROWS = 1 << 20, 64
 _PARTS = 16
+#: n-grams of the sets of one block, two of which one task verifies at a time.
+_BLOCK = 3 << 19
 #: Of similar sets, 1 and this share of the lesser one's n-grams must be common to both prefixes, which are as much longer.
 EXTRA = 0.05
 
@@ -126,8 +131,11 @@ def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 <
     return run
 
 
-def _join(t: float, parts: int, chunk: int = 1 << 22):
-    """For mapInArrow: pairs of sets of a partition's entries with the number of common prefix n-grams there, to the partition of the lesser set."""
+def _join(t: float, parts: int, chunk: int = 1 << 19):
+    """For mapInArrow: pairs of sets of a partition's entries with the number of common prefix n-grams there, to the partition of the lesser set.
+
+    Pairs are sent when they are many, so that a pair may be sent several times; :func:`_count` adds up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [common.unpacked(batch, (np.uint32, np.uint8, np.int64, np.uint32, np.uint32)) for batch in batches if batch.num_rows]
@@ -155,113 +163,242 @@ def _join(t: float, parts: int, chunk: int = 1 << 22):
         size_of = np.zeros(len(sets), np.int64)
         size_of[own] = size
         ell = np.minimum(_common(size), np.ceil(t * size - 1e-9).astype(np.int64))
-        lo = 0
 
         def add_up() -> None:
             pair, code = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
             found[:] = [(pair, np.bincount(code, np.concatenate([c for _, c in found])).astype(np.int64))]
 
-        while lo < len(code):
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + chunk)) - 1)
-            c = count[lo:hi]
-            a = np.repeat(np.arange(lo, hi), c)
-            b = a + 1 + np.arange(len(a)) - np.repeat(total[lo:hi] - total[lo], c)
+        def emit() -> Iterator[pa.RecordBatch]:
+            pairs, times = found.pop()
+            for lo in range(0, len(pairs), chunk):
+                p = pairs[lo : lo + chunk]
+                a, b = p // len(sets), p % len(sets)
+                lesser = np.minimum(size_of[a], size_of[b])
+                need = np.minimum(_common(lesser), np.ceil(t * lesser - 1e-9).astype(np.int64))
+                # sorted by a and sent by a: the partners of the sets of one group of copies are alike, which the blobs' compression finds
+                yield common.packed(parts, mix(sets[a]), [sets[a], sets[b], times[lo : lo + chunk].astype(np.int32), need.astype(np.int32)])
+
+        for lo in range(0, int(total[-1]), chunk):
+            at = np.arange(lo, min(lo + chunk, int(total[-1])))
+            a = np.searchsorted(total, at, side="right") - 1
+            b = a + 1 + at - total[a]
             least = np.ceil(t / (1 + t) * (size[a] + size[b]) - 1e-9)
             fit = np.minimum(ell[a], ell[b]) + np.minimum(size[a] - place[a], size[b] - place[b]) - 1 >= least
             x, y = own[a[fit]], own[b[fit]]
             found.append(np.unique(np.minimum(x, y) * len(sets) + np.maximum(x, y), return_counts=True))
-            if sum(len(p) for p, _ in found) > 4 * chunk:
+            if sum(len(p) for p, _ in found) > 2 * chunk:
                 add_up()
-            lo = hi
-        if not found:
-            return
-        add_up()
-        pairs, times = found[0]
-        for lo in range(0, len(pairs), 1 << 20):
-            p = pairs[lo : lo + (1 << 20)]
-            a, b = p // len(sets), p % len(sets)
-            lesser = np.minimum(size_of[a], size_of[b])
-            need = np.minimum(_common(lesser), np.ceil(t * lesser - 1e-9).astype(np.int64))
-            # sorted by a and sent by a: the partners of the sets of one group of copies are alike, which the blobs' compression finds
-            yield common.packed(parts, mix(sets[a]), [sets[a], sets[b], times[lo : lo + (1 << 20)].astype(np.int32), need.astype(np.int32)])
+                if len(found[0][0]) > chunk:
+                    yield from emit()
+        if found:
+            add_up()
+            yield from emit()
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets with the others that they have enough common prefix n-grams with, a row for each set."""
-    held = [common.unpacked(batch, (np.int64, np.int64, np.int32, np.int32)) for batch in batches]
-    if not held:
-        return
-    a, b, times, need = (np.concatenate(c) for c in zip(*held))
-    held.clear()
+def _added(a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, in order, its times added up."""
     order = np.lexsort((b, a))
-    a, b, times, need = a[order], b[order], times[order].astype(np.int64), need[order]
+    a, b, times, need = a[order], b[order], times[order], need[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    if not len(first):
-        return
-    enough = np.add.reduceat(times, first) >= need[first]
-    a, b = a[first][enough], b[first][enough]
-    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
-    ends = np.append(at[1:], len(a))
-    for lo in range(0, len(at), 4096):
-        x, y = at[lo : lo + 4096], ends[lo : lo + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.ListArray.from_arrays(pa.array(np.append(x, y[-1]) - x[0], pa.int32()), pa.array(b[x[0] : y[-1]]))], ["a", "b"])
+    return (a[first], b[first], np.add.reduceat(times, first), need[first]) if len(first) else (a, b, times, need)
+
 
+def _count(limit: int = 1 << 20, wide: int = 512):
+    """For mapInArrow: sets with the others that they have enough common prefix n-grams with, in rows of at most ``wide`` others.
 
-def _verify(n: int, t: float):
-    """For mapInArrow: similar pairs of a partition's candidates and texts."""
+    Entries stay compressed, cut into ranges of sets with about ``limit`` of them, which are added up one after the other.
+    """
+    kinds = (np.int64, np.int64, np.int32, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
-        pairs = []
-        for batch in batches:
-            text = batch.column("text")
-            a, b = batch.column("a").to_numpy(zero_copy_only=False), batch.column("b")
-            is_text = text.is_valid().to_numpy(zero_copy_only=False)
-            lists = b.filter(pa.array(~is_text))
-            pairs.append(np.column_stack([np.repeat(a[~is_text], np.diff(lists.offsets.to_numpy()) if len(lists) else 0), lists.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64))
-            own = [pa.decompress(text[int(k)].as_py(), b[int(k)].as_py()[0], "zstd", asbytes=True).decode() for k in np.flatnonzero(is_text)]
-            if own:
-                part = pa.RecordBatch.from_arrays([pa.array(own, pa.large_string()), pa.array(a[is_text])], ["text", "a"])
-                for s in common.slices(part, "text"):
-                    row, g, at = _sets(s.column("text"), n)
-                    for fp, want, x, y in zip(_fingerprints(row, g, at).tolist(), s.column("a").to_pylist(), at[:-1], at[1:]):
-                        if fp == want:  # else another text of a repeated id
-                            sets[fp] = g[x:y].copy()
-        todo = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        if not len(todo):
+        held = [batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)]
+        total = sum(x.column("n")[0].as_py() for x in held)
+        if not total:
             return
-        names = np.array(sorted(sets), np.int64)
-        flat = np.concatenate([sets[k] for k in names.tolist()])
-        size = np.array([len(sets[k]) for k in names.tolist()], np.int64)
-        at = np.concatenate([[0], np.cumsum(size)])
-        sets.clear()
-        a, b = np.searchsorted(names, todo[:, 0]), np.searchsorted(names, todo[:, 1])
+        ranges = [held]
+        if total > limit:
+            some = np.sort(np.concatenate([common.unpacked(x, kinds)[0][::64].copy() for x in held]))
+            edges = np.unique(some[[k * len(some) // (total // limit + 1) for k in range(1, total // limit + 1)]])
+            ranges = [[] for _ in range(len(edges) + 1)]
+            some = []
+            while held:
+                some.append(common.unpacked(held.pop(), kinds))
+                if not held or sum(len(c[0]) for c in some) > limit // 4:
+                    columns = [np.concatenate(c) for c in zip(*some)]
+                    some.clear()
+                    cut = common.packed(len(ranges), np.searchsorted(edges, columns[0], side="right").astype(np.uint64), columns)
+                    for k, to in enumerate(cut.column("part").to_pylist()):
+                        ranges[to].append(cut.slice(k, 1))
+        for own in ranges:
+            parts: list[list[np.ndarray]] = []
+            while own:
+                parts.append(common.unpacked(own.pop(), kinds))
+                if not own or sum(len(c[0]) for c in parts) > 2 * limit:
+                    parts[:] = [list(_added(*(np.concatenate(c) for c in zip(*parts))))]
+            if not parts:
+                continue
+            a, b, times, need = parts.pop()
+            enough = times >= need
+            a, b = a[enough], b[enough]
+            if not len(a):
+                continue
+            runs = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            at = np.flatnonzero((np.arange(len(a)) - np.repeat(runs, np.diff(np.append(runs, len(a))))) % wide == 0)
+            ends = np.append(at[1:], len(a))
+            for lo in range(0, len(at), 1024):
+                x, y = at[lo : lo + 1024], ends[lo : lo + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.ListArray.from_arrays(pa.array(np.append(x, y[-1]) - x[0], pa.int32()), pa.array(b[x[0] : y[-1]]))], ["a", "b"])
+
+    return run
+
+
+class _Group:
+    """Sets that pairs are verified among, the forest of the pairs found and how many documents they link each set to."""
+
+    def __init__(self, sets: dict[int, np.ndarray], docs: dict[int, int], t: float) -> None:
+        self.t, self.names = t, np.array(sorted(sets), np.int64)
+        self.docs = np.array([docs[k] for k in self.names.tolist()], np.int64)
+        flat = np.concatenate([sets[k] for k in self.names.tolist()])
+        self.size = np.array([len(sets[k]) for k in self.names.tolist()], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
         # suffix filter: ranges of hashes part the universe; a pair's overlap is at most the sum of the lesser parts
-        part = np.zeros((len(names), _PARTS), np.int32)
-        np.add.at(part, (np.repeat(np.arange(len(names)), size), (flat >> np.uint64(60)).astype(np.int64)), 1)
-        least = np.ceil(t / (1 + t) * (size[a] + size[b]) - 1e-9)
-        use = np.concatenate([np.minimum(part[a[k : k + 65536]], part[b[k : k + 65536]]).sum(1) for k in range(0, len(a), 65536)]) >= least
+        parts = np.repeat(np.arange(len(self.names)) * _PARTS, self.size) + (flat >> np.uint64(60)).astype(np.int64)
+        self.part = np.bincount(parts, minlength=len(self.names) * _PARTS).reshape(-1, _PARTS).astype(np.int32)
+        del parts
+        self.code = np.unique(flat, return_inverse=True)[1]
+        self.mark = np.zeros(int(self.code.max(initial=0)) + 1, bool)
+        self.root, self.linked = np.arange(len(self.names)), np.zeros(len(self.names), np.int64)
+
+    def similar(self, a: np.ndarray, b: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(a, its similar b, their similarities) by position in names; ``most`` n-grams are looked up at a time."""
+        a, b = np.searchsorted(self.names, a), np.searchsorted(self.names, b)
+        least = np.ceil(self.t / (1 + self.t) * (self.size[a] + self.size[b]) - 1e-9)
+        use = np.concatenate([np.minimum(self.part[a[k : k + 65536]], self.part[b[k : k + 65536]]).sum(1) for k in range(0, len(a), 65536)]) >= least
         a, b = a[use], b[use]
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
-        _, code = np.unique(flat, return_inverse=True)
-        mark = np.zeros(int(code.max(initial=0)) + 1, bool)
-        cut = np.searchsorted(a, np.arange(len(names) + 1))
-        for k in np.unique(a).tolist():
-            mine = code[at[k] : at[k + 1]]
-            mark[mine] = True
-            for lo in range(cut[k], cut[k + 1], 4096):
-                other = b[lo : min(lo + 4096, cut[k + 1])]
-                length = size[other]
+        begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]])).tolist()
+        for first, end in zip(begins, [*begins[1:], len(a)]):
+            k = int(a[first])
+            mine = self.code[self.at[k] : self.at[k + 1]]
+            self.mark[mine] = True
+            long = np.cumsum(self.size[b[first:end]])
+            lo = first
+            while lo < end:
+                hi = max(lo + 1, first + int(np.searchsorted(long, most + (long[lo - first - 1] if lo > first else 0), side="right")))
+                other = b[lo:hi]
+                length = self.size[other]
                 begin = np.cumsum(length) - length
-                both = np.add.reduceat(mark[code[np.arange(length.sum()) - np.repeat(begin, length) + np.repeat(at[other], length)]].astype(np.int64), begin)
-                j = both / (size[k] + length - both)
-                hit = j >= t
+                both = np.add.reduceat(self.mark[self.code[np.arange(length.sum()) - np.repeat(begin - self.at[other], length)]].astype(np.int64), begin)
+                j = both / (self.size[k] + length - both)
+                hit = j >= self.t
                 if hit.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(hit.sum()), names[k])), pa.array(names[other[hit]]), pa.array(j[hit])], ["a", "b", "jaccard"])
-            mark[mine] = False
+                    yield k, other[hit], j[hit]
+                lo = hi
+            self.mark[mine] = False
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = int(self.root[x])
+        return x
+
+    def joined(self, k: int, others: np.ndarray) -> list[int]:
+        """Those of the others that weren't connected with k before."""
+        mine, new = self.find(k), []
+        for x in others[self.root[others] != mine].tolist():
+            its = self.find(x)
+            if its != mine:
+                self.root[its] = mine
+                new.append(x)
+            self.root[x] = mine
+        return new
+
+
+def _verify(n: int, t: float, whole: bool, most: int = 1 << 20):
+    """For mapInArrow, over rows sorted so that the texts of a group come before its pairs: all similar pairs (``whole``), or else a forest
+    that connects the same sets, and for each set the number of documents that its pairs link it to (b is null). Groups are held together
+    up to ``most`` n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        docs: dict[int, int] = {}
+        held: list[np.ndarray] = []
+        group: _Group | None = None
+        weight = 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal group
+            if not held:
+                return
+            if group is None:
+                group = _Group(sets, docs, t)
+            todo = np.concatenate(held)
+            held.clear()
+            out: list[tuple[np.ndarray, ...]] = []
+            ready = 0
+            for k, others, j in group.similar(todo[:, 0], todo[:, 1]):
+                if not whole:
+                    group.linked[k] += group.docs[others].sum()
+                    group.linked[others] += group.docs[k]
+                    others = np.array(group.joined(k, others), np.int64)
+                    j = np.zeros(len(others))
+                if len(others):
+                    out.append((np.full(len(others), group.names[k]), group.names[others], j))
+                    ready += len(others)
+                if ready >= 1 << 16:
+                    yield rows(out)
+                    ready = 0
+            if out:
+                yield rows(out)
+
+        def rows(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            a, b, j = (np.concatenate(c) for c in zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(j) if whole else pa.nulls(len(a), pa.int64())], ["a", "b", "jaccard" if whole else "linked"])
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            if group is not None and not whole and group.linked.any():
+                on = group.linked > 0
+                yield pa.RecordBatch.from_arrays([pa.array(group.names[on]), pa.nulls(int(on.sum()), pa.int64()), pa.array(group.linked[on])], ["a", "b", "linked"])
+
+        for batch in batches:
+            is_text = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
+            turns = [0, *(np.flatnonzero(is_text[1:] != is_text[:-1]) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(turns[:-1], turns[1:]):
+                if hi == lo:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                names = part.column("a").to_numpy(zero_copy_only=False)
+                if not is_text[lo]:
+                    lists = part.column("b")
+                    held.append(np.column_stack([np.repeat(names, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64))
+                    if sum(len(x) for x in held) > most:
+                        yield from settle()
+                    continue
+                if weight > most and (held or group is not None):  # a new group begins
+                    yield from settle()
+                    yield from sums()
+                    sets, docs, weight, group = {}, {}, 0, None
+                elif group is not None:  # its index lacks the sets that come now
+                    yield from settle()
+                    yield from sums()
+                    group = None
+                for from_ in range(0, hi - lo, 256):
+                    some = part.slice(from_, 256)
+                    own = [pa.decompress(x.as_py(), y[0].as_py(), "zstd", asbytes=True).decode() for x, y in zip(some.column("text"), some.column("b"))]
+                    n_docs = [y[1].as_py() for y in some.column("b")]
+                    texts = pa.RecordBatch.from_arrays([pa.array(own, pa.large_string()), some.column("a"), pa.array(n_docs, pa.int64())], ["text", "a", "n"])
+                    for s in common.slices(texts, "text"):
+                        row, g, at = _sets(s.column("text"), n)
+                        for fp, want, many, x, y in zip(_fingerprints(row, g, at).tolist(), s.column("a").to_pylist(), s.column("n").to_pylist(), at[:-1], at[1:]):
+                            if fp == want and fp not in sets:  # else another text of a repeated id
+                                sets[fp], docs[fp] = g[x:y].copy(), many
+                                weight += int(y - x) + _PARTS
+        yield from settle()
+        yield from sums()
 
     return run
 
@@ -288,9 +425,11 @@ def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(ids.view(np.uint64) + np.uint64(k * 0x9E3779B9)) & np.uint64(bits - 1)).astype(np.int64) for k in range(1, 5)]
 
 
-def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs a, b, jaccard of fingerprints of similar sets; members doc_id, fp), both written tables.
+def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(links of fingerprints of similar sets; members doc_id, fp, size), both written tables.
 
+    ``whole``: links are all pairs a, b, jaccard. Else they are a, b of a forest with the same connected components, and rows a, linked
+    without b, which add up to the number of documents with sets similar to a; so the result grows with the sets, not with their pairs.
     Texts without words have no set: their fp is null, and they are in no pair.
     """
     source = common.texts(docs, id_col, text_col)
@@ -301,19 +440,31 @@ def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "
     def fingerprint(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, g, at = _sets(batch.column("text"), n)
         fp, full = _fingerprints(row, g, at), np.diff(at) > 0
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, mask=~full)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, mask=~full), pa.array(np.diff(at))], ["doc_id", "fp", "size"])
 
-    every = common.written(source.mapInArrow(common.over_slices(fingerprint), "doc_id long, fp long").distinct(), "members")
+    every = common.written(source.mapInArrow(common.over_slices(fingerprint), "doc_id long, fp long, size long").distinct(), "members")
     members = every.where("fp is not null")
     entries = source.mapInArrow(_prefixes(levels, n, t, parts), common.PACKED)
-    found = entries.repartitionById(parts, F.col("part")).mapInArrow(_join(t, parts), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_count, "a long, b array<long>")
+    found = entries.repartitionById(parts, F.col("part")).mapInArrow(_join(t, parts), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_count(), "a long, b array<long>")
     candidates = common.written(found, "candidates")
     # a pair is verified at the least neighbour of its lesser set: sets of one group of copies meet there, once
     least = candidates.select("a", F.array_min("b").alias("x")).unionByName(candidates.select(F.explode("b").alias("a"), F.col("a").alias("x")).groupBy("a").agg(F.min("x").alias("x")))
     place = least.groupBy("a").agg(F.least(F.min("x"), F.col("a")).alias("k"))
     placed = common.written(candidates.join(place, "a"), "placed")
-    ends = placed.select("k", F.explode(F.concat(F.array("a"), "b")).alias("fp")).distinct()
-    needed = common.written(ends.join(members.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "fp"), "needed")
+    sized = members.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("size").alias("size"))
+    ends = common.written(placed.select("k", F.explode(F.concat(F.array("a"), "b")).alias("fp")).distinct().join(sized, "fp"), "ends")
+    # of a group too large for one task, blocks of sets meet two by two
+    large = ends.groupBy("k").agg(F.ceil(F.sum(F.col("size") + _PARTS) / _BLOCK).alias("blocks")).where("blocks > 1")
+    large = F.broadcast(common.written(large, "large"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("blocks", F.lit(1)))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)).alias("y")
+    two = lambda x: (F.least(x, "y").alias("i"), F.greatest(x, "y").alias("j"))
+    split = placed.join(large, "k", "left").select("k", "a", "b", "blocks", block("a").alias("x"), each)
+    split = split.select("k", *two(F.col("x")), "a", F.when(F.col("blocks").isNull(), F.col("b")).otherwise(F.filter("b", lambda v: block(v) == F.col("y"))).alias("b"), "blocks").where(F.size("b") > 0)
+    used = split.where("blocks is not null").select("k", "i", "j").distinct()
+    sent = ends.join(large, "k", "left").select("k", "fp", "doc_id", "n", "blocks", block("fp").alias("x"), each).select("k", *two(F.col("x")), "fp", "doc_id", "n", "blocks")
+    sent = sent.where("blocks is null").unionByName(sent.where("blocks is not null").join(used, ["k", "i", "j"], "left_semi"))
+    needed = common.written(sent.drop("blocks"), "needed")
     seen = _seen(needed)  # most texts are in no candidate pair and needn't be shuffled
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -325,10 +476,11 @@ def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.size for x in raw], pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())], ["doc_id", "size", "text"])
 
     squeezed = source.mapInArrow(common.over_slices(squeeze), "doc_id long, size long, text binary")
-    shipped = squeezed.join(needed, "doc_id").select("k", F.col("fp").alias("a"), F.array("size").alias("b"), "text")
-    work = shipped.unionByName(placed.select("k", "a", "b", F.lit(None).cast("binary").alias("text")))
-    pairs = work.repartition(parts, "k").select("a", "b", "text").mapInArrow(_verify(n, t), "a long, b long, jaccard double")
-    return common.written(pairs, "similar"), every
+    shipped = squeezed.join(needed, "doc_id").select("k", "i", "j", F.col("fp").alias("a"), F.array("size", "n").alias("b"), "text")
+    work = shipped.unionByName(split.drop("blocks").withColumn("text", F.lit(None).cast("binary")))
+    work = work.repartition(parts, "k", "i", "j").sortWithinPartitions("k", "i", "j", F.col("text").isNull())
+    links = work.select("a", "b", "text").mapInArrow(_verify(n, t, whole), "a long, b long, " + ("jaccard double" if whole else "linked long"))
+    return common.written(links, "similar"), every
 
 
 def pairs(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,7 +490,7 @@ def pairs(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id"
     that repeat count once; an id with several texts is similar where any of them is, by the most similar; rows without an id are
     skipped; an empty table gives no rows; other columns are not read.
     """
-    similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col)
+    similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col, whole=True)
     members = members.where("fp is not null")
     a, b = members.select(F.col("fp").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("fp").alias("b"), F.col("doc_id").alias("y"))
     apart = similar.join(a, "a").join(b, "b").select("x", "y", "jaccard")
@@ -358,7 +510,7 @@ def classes(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_i
     different sets are documents of their own, with a row each, which links may connect; very long texts are compared whole; rows
     without an id are skipped; an empty table gives no rows; other columns are not read.
     """
-    similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col)
+    similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col, whole=True)
     return common.classes(members.withColumnRenamed("fp", "node"), similar, "doc_id")
 
 
@@ -368,7 +520,7 @@ def deduplicate(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "d
     Texts without words, null texts and rows without an id stay; so do rows that share the id that stays.
     """
     similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col)
-    members, roots = members.where("fp is not null"), components(similar)
+    members, roots = members.where("fp is not null"), components(similar.where("b is not null").select("a", "b"))
     grouped = members.join(roots, members.fp == roots.node, "left").select("doc_id", F.coalesce("component", "fp").alias("g"))
     first = grouped.groupBy("g").agg(F.min("doc_id").alias("keep"))
     gone = grouped.join(first, "g").groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("keep"), 1).otherwise(0)).alias("kept")).where("kept = 0").select("doc_id")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinfold.llm import caps, decontaminate, jaccard, katz, packing, secrets, suffix, text, token_counts, toxicity, warc
+from kinfold.llm import caps, common, decontaminate, jaccard, katz, packing, secrets, suffix, text, token_counts, toxicity, warc
 
 WORD = re.compile(text.WORD)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, k string, entries string, a string, fp string"
@@ -305,6 +306,44 @@ def test_jaccard_classes(spark, docs, none, texts):
     assert got == classes_by_force(sorted({(i, frozenset(gram_set(t))) for i, t in more if i is not None}, key=str), alike)
 
 
+def test_jaccard_tasks_hold_no_square():
+    """All pairs of a large group pass through tasks of bounded memory, once each."""
+    m, grams_each = 3000, 3
+    fp = np.repeat(np.arange(1, m + 1, dtype=np.int64), grams_each)
+    key = np.tile(np.arange(grams_each, dtype=np.uint64), m)
+    entries = common.packed(1, key, [key.astype(np.uint32), key.astype(np.uint8), fp, np.full(len(fp), 20, np.uint32), np.zeros(len(fp), np.uint32)])
+    tracemalloc.start()
+    try:
+        sent = list(jaccard._join(0.5, 1)(iter([entries])))
+        assert tracemalloc.get_traced_memory()[1] < 250e6
+        tracemalloc.reset_peak()
+        most = n = 0
+        for batch in jaccard._count()(iter(sent)):
+            lists = batch.column("b")
+            n, most = n + len(lists.flatten()), max(most, *np.diff(lists.offsets.to_numpy()))
+        assert tracemalloc.get_traced_memory()[1] < 250e6 and n == m * (m - 1) // 2 and most <= 512
+    finally:
+        tracemalloc.stop()
+
+
+def test_jaccard_large_groups_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_BLOCK", 600)
+    r = random.Random(4)
+    rows = []
+    for k in range(3):
+        base = [f"w{k}x{i}" for i in range(60)]
+        rows += [(100 * k + i, " ".join(w if r.random() > 0.07 else f"x{r.randrange(99)}" for w in base)) for i in range(40)]
+    rows += [(900 + i, rows[i][1]) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = sorted({(i, frozenset(gram_set(t))) for i, t in rows}, key=str)
+    want = classes_by_force(own, alike)
+    assert sorted(tuple(x) for x in jaccard.classes(df).collect()) == want
+    links, _ = jaccard.similar_sets(df)
+    nodes = len({x for r in links.where("b is not null").collect() for x in (r.a, r.b)})
+    assert links.where("b is not null").count() < 12 * nodes < sum(n for *_, n in want)  # a forest for each of a few blocks, not all pairs
+    assert {x.doc_id for x in jaccard.deduplicate(df).collect()} == {c for _, c, _ in want}
+
+
 # 6
 
 
