@@ -78,16 +78,18 @@ def without(docs: DataFrame, bad: DataFrame, id_col: str = "doc_id") -> DataFram
 _HOT = 64
 
 
-def classes(members: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+def classes(members: DataFrame, links: DataFrame, id_col: str, linked: DataFrame | None = None) -> DataFrame:
     """id_col, class_id and n_links of each row of members (id_col, node), where links (a, b) join similar nodes, each pair once.
 
     class_id is the least id in the connected component of the node, n_links the number of other members of the node and of all
-    members of linked nodes. A null node has no links. Nodes that hold a large share of all members don't meet in one task.
+    members of linked nodes. Where ``linked`` has that number of linked nodes' members (a, linked), links need only connect the same nodes.
+    A null node has no links. Nodes that hold a large share of all members don't meet in one task.
     """
     nodes = members.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min(id_col).alias("least"))
     nodes = written(nodes, "nodes")
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked"))
+    if linked is None:
+        ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        linked = ends.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("linked"))
     roots = components(links.select("a", "b"))
     own = nodes.join(linked.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left").where("n > 1 or linked is not null")
     own = own.select("node", "least", F.coalesce("component", "node").alias("root"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "n")

@@ -510,8 +510,9 @@ def classes(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_i
     different sets are documents of their own, with a row each, which links may connect; very long texts are compared whole; rows
     without an id are skipped; an empty table gives no rows; other columns are not read.
     """
-    similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col, whole=True)
-    return common.classes(members.withColumnRenamed("fp", "node"), similar, "doc_id")
+    similar, members = similar_sets(docs, n=n, t=t, id_col=id_col, text_col=text_col)
+    linked = similar.where("b is null").groupBy("a").agg(F.sum("linked").alias("linked"))
+    return common.classes(members.withColumnRenamed("fp", "node"), similar.where("b is not null"), "doc_id", linked)
 
 
 def deduplicate(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

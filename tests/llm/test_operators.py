@@ -326,6 +326,15 @@ def test_jaccard_tasks_hold_no_square():
         tracemalloc.stop()
 
 
+def test_jaccard_classes_need_no_table_of_pairs(spark, monkeypatch):
+    made, similar_sets = [], jaccard.similar_sets
+    monkeypatch.setattr(jaccard, "similar_sets", lambda *x, **k: made.append(similar_sets(*x, **k)) or made[-1])
+    rows = [(k, " ".join(f"w{i}" if i != k else "x" for i in range(60))) for k in range(50)] + [(90, " ".join(f"w{i}" for i in range(60)))] * 2 + [(91, " ".join(f"w{i}" for i in range(60)))]
+    got = sorted(tuple(x) for x in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == classes_by_force(sorted({(i, frozenset(gram_set(t))) for i, t in rows}, key=str), alike)
+    assert made[0][0].count() <= 2 * 51  # a forest and a sum for each set
+
+
 def test_jaccard_large_groups_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_BLOCK", 600)
     r = random.Random(4)
