@@ -7,7 +7,8 @@ The n-grams of a text form a set; all pairs of texts are wanted whose sets have
 2. Of each set, the first |x| - ceil(t |x|) + l n-grams are its prefix. Two similar sets share at least l prefix n-grams, where
    l, which grows with the sets (``EXTRA``), is that of the one with less. Prefixes are sent to the partition of each n-gram,
    with the set's size and the n-gram's place, and joined there under the length filter (|x| >= t |y|) and the positional
-   filter (what is left behind a common n-gram must suffice).
+   filter (what is left behind a common n-gram must suffice). A set is written once for its n-grams in a blob (:func:`_tight`), so
+   these partitions are fewer (``_FEWER``) than the others.
 3. Common prefix n-grams of a pair are counted over the cluster; pairs with l of them are candidates. Each set of a pair goes to
    the partition where the pair is verified, once, first by the suffix filter (the parts of both sets in fixed ranges of hashes bound their overlap), then exactly.
 
@@ -21,7 +22,7 @@ pairs over them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ _BUCKETS, _ROWS = 1 << 20, 64
 _PARTS = 16
 #: n-grams of the sets of one block, two of which one task verifies at a time.
 _BLOCK = 3 << 19
+#: Bits of an n-gram's hash that are sent, and how many times fewer the partitions of n-grams are than the others.
+_BITS, _FEWER = 28, 3
+#: Columns of an entry: the n-gram (high and low bits), its set, the set's size and the n-gram's place.
+_ENTRY = (np.uint32, np.uint8, np.int64, np.uint32, np.uint32)
 #: Of similar sets, 1 and this share of the lesser one's n-grams must be common to both prefixes, which are as much longer.
 EXTRA = 0.05
 
@@ -96,10 +101,54 @@ def _order(source: DataFrame, n: int) -> np.ndarray:
     return levels.ravel()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all 32-bit numbers, then the second ones and so on: most are alike."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+
+
+def _tight(parts: int, key: np.ndarray, fp: np.ndarray, size: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Prefix entries that come set by set as a blob for each partition, for :func:`_loose`: each set and its size once, ``_BITS`` bits of
+    each n-gram, and its place in a byte, rounded down, by which the positional filter lets more pass, never fewer. What is distributed
+    alike is compressed together."""
+    to = (key % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    fp, size, cut = fp[order], size[order], np.searchsorted(to[order], np.arange(parts + 1))
+    bits = (key[order] >> np.uint64(64 - _BITS)).astype(np.uint32)
+    place = (place[order] // np.maximum(1, size >> 6)).astype(np.uint8)
+    rows = []
+    for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+        if b > a:
+            head = np.flatnonzero(np.concatenate([[True], fp[a + 1 : b] != fp[a : b - 1]]))
+            low, numbers = _planes(bits[a:b]), _planes(size[a:b][head]) + _planes(np.diff(np.append(head, b - a)))
+            own = [pa.compress(x, "zstd", asbytes=True) for x in (fp[a:b][head].tobytes(), numbers, low[: 3 * (b - a)], low[3 * (b - a) :], np.diff(place[a:b], prepend=np.uint8(0)).tobytes())]
+            rows.append((p, b - a, b"".join((np.array([len(head), *map(len, own)], np.uint32).tobytes(), *own))))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], ["part", "n", "entries"])
+
+
+def _loose(batch: pa.RecordBatch, kinds: tuple = _ENTRY) -> list[np.ndarray]:
+    """The entries in the blobs of a batch, in columns of these kinds."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for n, blob in zip(batch.column("n").to_pylist(), batch.column("entries")):
+        blob = blob.as_py()
+        sets, *long = np.frombuffer(blob, np.uint32, 6).tolist()
+        at = np.cumsum([24, *long]).tolist()
+        own, numbers, low, high, step = (pa.decompress(blob[a:b], m, "zstd", asbytes=True) for a, b, m in zip(at[:-1], at[1:], (8 * sets, 8 * sets, 3 * n, n, n)))
+        size, many = _numbers(numbers[: 4 * sets]), _numbers(numbers[4 * sets :])
+        bits, fp, size = _numbers(low + high), np.repeat(np.frombuffer(own, np.int64), many), np.repeat(size, many)
+        place = np.cumsum(np.frombuffer(step, np.uint8), dtype=np.uint8) * np.maximum(1, size >> 6)
+        for x, c, k in zip(out, (bits, np.zeros(n, np.uint8), fp, size, place), kinds):
+            x.append(c.astype(k))
+    return [np.concatenate(x) for x in out]
+
+
 def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 << 20):
-    """For mapInArrow: prefix entries (40 bits of the n-gram's hash, set, size, place) in a blob for each partition that they go to.
+    """For mapInArrow: prefix entries (bits of the n-gram's hash, set, size, place) in a blob for each partition that they go to.
 
-    n-grams with the same 40 bits in one partition only make a pair a candidate more often.
+    n-grams with the same bits in one partition only make a pair a candidate more often.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +157,7 @@ def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 <
         def emit() -> pa.RecordBatch:
             key, fp, size, place = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            return common.packed(parts, key, [(key >> np.uint64(32)).astype(np.uint32), (key >> np.uint64(24)).astype(np.uint8), fp, size, place])
+            return _tight(parts, key, fp, size, place)
 
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -131,28 +180,40 @@ def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 <
     return run
 
 
-def _join(t: float, parts: int, chunk: int = 1 << 19):
+def _join(t: float, parts: int, chunk: int = 1 << 19, read: Callable = common.unpacked):
     """For mapInArrow: pairs of sets of a partition's entries with the number of common prefix n-grams there, to the partition of the lesser set.
 
-    Pairs are sent when they are many, so that a pair may be sent several times; :func:`_count` adds up.
+    Pairs are sent when they are many, so that a pair may be sent several times; :func:`_count` adds up. n-grams that occur once,
+    which are most, are left out before the entries are held together. ``read`` gives the entries of blobs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [common.unpacked(batch, (np.uint32, np.uint8, np.int64, np.uint32, np.uint32)) for batch in batches if batch.num_rows]
+        held = [batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)]
         if not held:
             return
-        high, low, fp, size, place = (np.concatenate(c) for c in zip(*held))
-        held.clear()
-        key = high.astype(np.uint64) << np.uint64(8) | low
-        _, code, many = np.unique(key, return_inverse=True, return_counts=True)
-        use = many[code] > 1
-        code, fp, size, place = code[use], fp[use], size[use].astype(np.int64), place[use].astype(np.int64)
-        sets, own = np.unique(fp, return_inverse=True)
+        key = lambda c: c[0].astype(np.uint64) << np.uint64(8) | c[1]
+        keys = np.concatenate([key(read(x, _ENTRY)) for x in held])
+        keys.sort()
+        keys = np.unique(keys[1:][keys[1:] == keys[:-1]])
+        if not len(keys):
+            return
+        kept: list[tuple[np.ndarray, ...]] = []
+        while held:
+            columns = read(held.pop(), _ENTRY)
+            own = key(columns)
+            code = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            turn = np.full(len(own), len(held)) << 32 | np.cumsum(np.concatenate([[False], columns[2][1:] != columns[2][:-1]]))
+            use = keys[code] == own
+            kept.append((code[use], turn[use], *(c[use] for c in columns[2:])))
+        code, turn, fp, size, place = (np.concatenate(c) for c in zip(*kept))
+        kept.clear()
+        # equal sets give equal entries: those of one of them are used; a set may still have an n-gram twice, by its bits
+        sets, first, own = np.unique(fp, return_index=True, return_inverse=True)
+        use = turn == turn[first][own]
+        del turn, fp
+        code, own, size, place = code[use], own[use], size[use].astype(np.int64), place[use].astype(np.int64)
         order = np.lexsort((own, size, code))
         code, own, size, place = code[order], own[order], size[order], place[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (own[1:] != own[:-1])  # equal sets give equal entries
-        code, own, size, place = code[new], own[new], size[new], place[new]
         # entries of an n-gram by size: the partners of an entry are those behind it that aren't too long
         wide = int(size.max(initial=0)) + 2
         limit = np.minimum((size / t + 1e-9).astype(np.int64), wide - 1)
@@ -183,7 +244,7 @@ def _join(t: float, parts: int, chunk: int = 1 << 19):
             a = np.searchsorted(total, at, side="right") - 1
             b = a + 1 + at - total[a]
             least = np.ceil(t / (1 + t) * (size[a] + size[b]) - 1e-9)
-            fit = np.minimum(ell[a], ell[b]) + np.minimum(size[a] - place[a], size[b] - place[b]) - 1 >= least
+            fit = (np.minimum(ell[a], ell[b]) + np.minimum(size[a] - place[a], size[b] - place[b]) - 1 >= least) & (own[a] != own[b])
             x, y = own[a[fit]], own[b[fit]]
             found.append(np.unique(np.minimum(x, y) * len(sets) + np.maximum(x, y), return_counts=True))
             if sum(len(p) for p, _ in found) > 2 * chunk:
@@ -444,8 +505,9 @@ def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "
 
     every = common.written(source.mapInArrow(common.over_slices(fingerprint), "doc_id long, fp long, size long").distinct(), "members")
     members = every.where("fp is not null")
-    entries = source.mapInArrow(_prefixes(levels, n, t, parts), common.PACKED)
-    found = entries.repartitionById(parts, F.col("part")).mapInArrow(_join(t, parts), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_count(), "a long, b array<long>")
+    fewer = math.ceil(parts / _FEWER)
+    entries = source.mapInArrow(_prefixes(levels, n, t, fewer), common.PACKED)
+    found = entries.repartitionById(fewer, F.col("part")).mapInArrow(_join(t, parts, read=_loose), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_count(), "a long, b array<long>")
     candidates = common.written(found, "candidates")
     # a pair is verified at the least neighbour of its lesser set: sets of one group of copies meet there, once
     least = candidates.select("a", F.array_min("b").alias("x")).unionByName(candidates.select(F.explode("b").alias("a"), F.col("a").alias("x")).groupBy("a").agg(F.min("x").alias("x")))

@@ -326,6 +326,32 @@ def test_jaccard_tasks_hold_no_square():
         tracemalloc.stop()
 
 
+def test_jaccard_entries_are_small(monkeypatch):
+    """A prefix n-gram takes few bytes; no similar pair is lost where many n-grams of a set have the same bits, and copies count once."""
+    r = random.Random(5)
+    rows = [" ".join(f"w{r.randrange(5000)}" for _ in range(500)) for _ in range(200)]
+    near = [" ".join(w if r.random() > p else "x" for w in t.split()) for t in rows[:60] for p in (0.03, 0.09)]
+    texts = pa.array(rows + near + rows[:30])
+    own = jaccard._sets(texts, 3)
+    fp = jaccard._fingerprints(*own).tolist()
+    sets = {f: gram_set(t) for f, t in zip(fp, texts.to_pylist())}
+    want = {(min(a, b), max(a, b)) for a in sets for b in sets if a != b and alike(sets[a], sets[b])}
+    levels = np.zeros(jaccard._BUCKETS, np.uint8)
+
+    def sent(parts):
+        halves = (pa.RecordBatch.from_arrays([x], ["text"]) for x in (texts[:250], texts[250:]))
+        return list(jaccard._prefixes(levels, 3, 0.5, parts, flush=1)(halves))
+
+    blobs = sent(17)
+    assert sum(len(x.as_py()) for b in blobs for x in b.column("entries")) < 7 * sum(sum(b.column("n").to_pylist()) for b in blobs)
+    for bits in (28, 12):
+        monkeypatch.setattr(jaccard, "_BITS", bits)
+        got = set()
+        for batch in jaccard._count()(jaccard._join(0.5, 1, read=jaccard._loose)(iter(sent(1)))):
+            got |= {(min(x["a"], y), max(x["a"], y)) for x in batch.to_pylist() for y in x["b"]}
+        assert len(want) > 100 and want <= got and (bits < 28 or len(got) < 2 * len(want))
+
+
 def test_jaccard_classes_need_no_table_of_pairs(spark, monkeypatch):
     made, similar_sets = [], jaccard.similar_sets
     monkeypatch.setattr(jaccard, "similar_sets", lambda *x, **k: made.append(similar_sets(*x, **k)) or made[-1])
