@@ -9,6 +9,8 @@ The n-grams of a text form a set; all pairs of texts are wanted whose sets have
    with the set's size and the n-gram's place, and joined there under the length filter (|x| >= t |y|) and the positional
    filter (what is left behind a common n-gram must suffice). A set is written once for its n-grams in a blob (:func:`_tight`), so
    these partitions are fewer (``_FEWER``) than the others.
+   An n-gram of more than ``_HOT`` sets isn't joined there: with the others that nearly the same sets have it goes to one partition, their
+   home, where a product of matrices counts what each pair has in common, and each pair is sent once for all of them (:func:`_dense`).
 3. Common prefix n-grams of a pair are counted over the cluster; pairs with l of them are candidates. Each set of a pair goes to
    the partition where the pair is verified, once, first by the suffix filter (the parts of both sets in fixed ranges of hashes bound their overlap), then exactly.
 
@@ -26,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ _PARTS = 16
 _BLOCK = 3 << 19
 #: Bits of an n-gram's hash that are sent, and how many times fewer the partitions of n-grams are than the others.
 _BITS, _FEWER = 28, 3
+#: n-grams of more sets than this are joined with others at their home, and the columns of their entries there: home, n-gram, set and the set's size.
+_HOT, _AT_HOME = 128, (np.uint64, np.uint64, np.int64, np.uint32)
 #: Columns of an entry: the n-gram (high and low bits), its set, the set's size and the n-gram's place.
 _ENTRY = (np.uint32, np.uint8, np.int64, np.uint32, np.uint32)
 #: Of similar sets, 1 and this share of the lesser one's n-grams must be common to both prefixes, which are as much longer.
@@ -180,13 +185,32 @@ def _prefixes(levels: np.ndarray, n: int, t: float, parts: int, flush: int = 1 <
     return run
 
 
-def _join(t: float, parts: int, chunk: int = 1 << 19, read: Callable = common.unpacked):
+def _need(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """Of pairs of sets of these sizes: the common prefix n-grams that make them candidates."""
+    lesser = np.minimum(a, b)
+    return np.minimum(_common(lesser), np.ceil(t * lesser - 1e-9).astype(np.int64))
+
+
+def _join(t: float, parts: int, chunk: int = 1 << 19, read: Callable = common.unpacked, hot: int | None = None):
     """For mapInArrow: pairs of sets of a partition's entries with the number of common prefix n-grams there, to the partition of the lesser set.
 
+    With ``hot``, n-grams of more sets than that are sent to their home instead, for :func:`_dense`; a column says which rows those are.
+
     Pairs are sent when they are many, so that a pair may be sent several times; :func:`_count` adds up. n-grams that occur once,
     which are most, are left out before the entries are held together. ``read`` gives the entries of blobs.
     """
 
+    def marked(batch: pa.RecordBatch, often: bool) -> pa.RecordBatch:
+        return batch if hot is None else batch.append_column("hot", pa.array(np.full(batch.num_rows, often)))
+
+    def homes(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # the home of an n-gram is the least hash of its sets: n-grams that nearly the same sets have are likely to share it
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        home = np.repeat(np.minimum.reduceat(mix(fp.view(np.uint64)), first), np.diff(np.append(first, len(key))))
+        for lo in range(0, len(key), chunk):
+            h, k, f, n = (c[lo : lo + chunk] for c in (home, key, fp, size))
+            yield marked(common.packed(parts, mix(h), [h, k, f, n.astype(np.uint32)]), True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)]
         if not held:
@@ -214,6 +238,11 @@ def _join(t: float, parts: int, chunk: int = 1 << 19, read: Callable = common.un
         code, own, size, place = code[use], own[use], size[use].astype(np.int64), place[use].astype(np.int64)
         order = np.lexsort((own, size, code))
         code, own, size, place = code[order], own[order], size[order], place[order]
+        if hot is not None:
+            often = np.bincount(code)[code] > hot
+            if often.any():
+                yield from homes(keys[code[often]], sets[own[often]], size[often])
+                code, own, size, place = code[~often], own[~often], size[~often], place[~often]
         # entries of an n-gram by size: the partners of an entry are those behind it that aren't too long
         wide = int(size.max(initial=0)) + 2
         limit = np.minimum((size / t + 1e-9).astype(np.int64), wide - 1)
@@ -234,10 +263,7 @@ def _join(t: float, parts: int, chunk: int = 1 << 19, read: Callable = common.un
             for lo in range(0, len(pairs), chunk):
                 p = pairs[lo : lo + chunk]
                 a, b = p // len(sets), p % len(sets)
-                lesser = np.minimum(size_of[a], size_of[b])
-                need = np.minimum(_common(lesser), np.ceil(t * lesser - 1e-9).astype(np.int64))
-                # sorted by a and sent by a: the partners of the sets of one group of copies are alike, which the blobs' compression finds
-                yield common.packed(parts, mix(sets[a]), [sets[a], sets[b], times[lo : lo + chunk].astype(np.int32), need.astype(np.int32)])
+                yield marked(_pairs(parts, sets[a], sets[b], times[lo : lo + chunk], _need(size_of[a], size_of[b], t)), False)
 
         for lo in range(0, int(total[-1]), chunk):
             at = np.arange(lo, min(lo + chunk, int(total[-1])))
@@ -258,6 +284,72 @@ def _join(t: float, parts: int, chunk: int = 1 << 19, read: Callable = common.un
     return run
 
 
+def _pairs(parts: int, a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+    """Pairs for :func:`_count`. Sorted by a and sent by a: the partners of the sets of one group of copies are alike, which the blobs' compression finds."""
+    return common.packed(parts, mix(a), [a, b, times.astype(np.int32), need.astype(np.int32)])
+
+
+def _dense(t: float, parts: int, chunk: int = 1 << 19, wide: int = 1 << 22):
+    """For mapInArrow, over rows of :func:`_join` with ``hot``: pairs pass, entries at their home become pairs with the number of n-grams that they share there.
+
+    Matrices of sets by n-grams have at most ``wide`` numbers or a column, those of sets by sets ``chunk`` or a row. Pairs that don't pass the
+    positional filter count, too: more become candidates, never fewer.
+    """
+
+    def products(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets, first, own = np.unique(fp, return_index=True, return_inverse=True)
+        size, column = size[first].astype(np.int64), np.unique(key, return_inverse=True)[1]
+        longest = np.floor(size / t + 1e-9)
+        order = np.argsort(column, kind="stable")
+        own, column = own[order], column[order]
+        n, across, down = len(sets), max(1, wide // len(sets)), max(1, chunk // len(sets))
+        cuts = list(range(0, int(column[-1]) + 1, across))
+
+        def matrix(at: int) -> np.ndarray:
+            lo, hi = np.searchsorted(column, [at, at + across])
+            columns = int(column[hi - 1]) + 1 - at
+            return np.bincount(own[lo:hi] * columns + column[lo:hi] - at, minlength=n * columns).astype(np.float32).reshape(n, columns)
+
+        whole = matrix(0) if len(cuts) == 1 else None
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ready = 0
+        for lo in range(0, n, down):
+            hi = min(lo + down, n)
+            common_ = sum(m[lo:hi] @ m[lo:].T for m in ((whole,) if whole is not None else map(matrix, cuts)))
+            fit = (common_ > 0) & (size[lo:] <= longest[lo:hi, None]) & (size[lo:hi, None] <= longest[lo:])
+            a, b = np.nonzero(np.triu(fit, 1))
+            found.append((lo + a, lo + b, common_[a, b]))
+            ready += len(a)
+            if ready >= chunk or hi == n:
+                a, b, times = (np.concatenate(c) for c in zip(*found))
+                found.clear()
+                ready = 0
+                if len(a):
+                    need = _need(size[a], size[b], t)
+                    yield _pairs(parts, sets[a], sets[b], np.minimum(times, need), need)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            often = batch.column("hot")
+            pairs = batch.filter(pc.invert(often)).select(["part", "n", "entries"])
+            if pairs.num_rows:
+                yield pairs
+            own = batch.filter(often)
+            held += [own.slice(k, 1) for k in range(own.num_rows)]
+        if not held:
+            return
+        home, key, fp, size = (np.concatenate(c) for c in zip(*(common.unpacked(x, _AT_HOME) for x in held)))
+        held.clear()
+        order = np.argsort(home, kind="stable")
+        home, key, fp, size = home[order], key[order], fp[order], size[order]
+        edges = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield from products(key[lo:hi], fp[lo:hi], size[lo:hi])
+
+    return run
+
+
 def _added(a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each pair once, in order, its times added up."""
     order = np.lexsort((b, a))
@@ -507,7 +599,8 @@ def similar_sets(docs: DataFrame, *, n: int = 3, t: float = 0.5, id_col: str = "
     members = every.where("fp is not null")
     fewer = math.ceil(parts / _FEWER)
     entries = source.mapInArrow(_prefixes(levels, n, t, fewer), common.PACKED)
-    found = entries.repartitionById(fewer, F.col("part")).mapInArrow(_join(t, parts, read=_loose), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_count(), "a long, b array<long>")
+    found = entries.repartitionById(fewer, F.col("part")).mapInArrow(_join(t, parts, read=_loose, hot=_HOT), common.PACKED + ", hot boolean")
+    found = found.repartitionById(parts, F.col("part")).mapInArrow(_dense(t, parts), common.PACKED).repartitionById(parts, F.col("part")).mapInArrow(_count(), "a long, b array<long>")
     candidates = common.written(found, "candidates")
     # a pair is verified at the least neighbour of its lesser set: sets of one group of copies meet there, once
     least = candidates.select("a", F.array_min("b").alias("x")).unionByName(candidates.select(F.explode("b").alias("a"), F.col("a").alias("x")).groupBy("a").agg(F.min("x").alias("x")))

@@ -352,6 +352,35 @@ def test_jaccard_entries_are_small(monkeypatch):
         assert len(want) > 100 and want <= got and (bits < 28 or len(got) < 2 * len(want))
 
 
+def test_jaccard_hot_ngrams_are_joined_once():
+    """A pair of a large group is sent a few times, not once for each partition of its n-grams, with the same candidates."""
+    r = random.Random(7)
+    texts = [" ".join(w if r.random() > 0.03 else f"x{r.randrange(500)}" for w in (f"w{g}x{i}" for i in range(80))) for g in range(2) for _ in range(160)]
+    texts += [f"lone{k} " + " ".join(f"y{r.randrange(900)}" for _ in range(30)) for k in range(50)]
+    (sent,) = jaccard._prefixes(np.zeros(jaccard._BUCKETS, np.uint8), 3, 0.5, 16)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    by_part = [sent.slice(k, 1) for k in range(sent.num_rows)]
+
+    def candidates(blobs):
+        return {(min(x["a"], y), max(x["a"], y)) for batch in jaccard._count()(iter(blobs)) for x in batch.to_pylist() for y in x["b"]}
+
+    plain = [b for x in by_part for b in jaccard._join(0.5, 1, read=jaccard._loose)(iter([x]))]
+    joined = [b for x in by_part for b in jaccard._join(0.5, 1, read=jaccard._loose, hot=100)(iter([x]))]
+    for wide, chunk in ((1 << 22, 1 << 19), (400, 900)):
+        once = list(jaccard._dense(0.5, 1, chunk=chunk, wide=wide)(iter(joined)))
+        got, want = candidates(once), candidates(plain)
+        assert len(want) > 20_000 and want <= got and len(got) < 1.1 * len(want)
+        total = [sum(sum(b.column("n").to_pylist()) for b in blobs) for blobs in (once, plain)]
+        assert total[0] < 6 * len(want) < total[1]
+
+
+def test_jaccard_classes_with_hot_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_HOT", 3)
+    r = random.Random(8)
+    rows = [(40 * g + k, " ".join(w if r.random() > 0.12 else f"x{r.randrange(99)}" for w in (f"w{g}x{i}" for i in range(30 + g)))) for g in range(3) for k in range(40)]
+    got = sorted(tuple(x) for x in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == classes_by_force(sorted({(i, frozenset(gram_set(t))) for i, t in rows}, key=str), alike)
+
+
 def test_jaccard_classes_need_no_table_of_pairs(spark, monkeypatch):
     made, similar_sets = [], jaccard.similar_sets
     monkeypatch.setattr(jaccard, "similar_sets", lambda *x, **k: made.append(similar_sets(*x, **k)) or made[-1])
