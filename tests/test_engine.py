@@ -231,3 +231,14 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["canonical_pairs", "number_veto"])
+def test_products_by_nation_are_spread(spark, name):
+    """Few nations and one file: all tasks of the cluster make pairs, and what concerns a single name is not worked out for each pair."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    above = df._jdf.queryExecution().optimizedPlan().toString().partition("Join ")[0]
+    assert "regexp_extract_all" not in above
