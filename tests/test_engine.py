@@ -1,5 +1,8 @@
 """The entity-resolution operators: truth tables, stages, and whole runs."""
 
+import dataclasses
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +245,48 @@ def test_products_by_nation_are_spread(spark, name):
     assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     above = df._jdf.queryExecution().optimizedPlan().toString().partition("Join ")[0]
     assert "regexp_extract_all" not in above
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_blocking_against_brute_force(spark, monkeypatch, small):
+    """Both plans, with groups in one task or in blocks, for some anchors and a cap that cuts; only similar pairs leave a group."""
+    if small:
+        for name, value in (("_BLOCK", 5), ("_WIDE", 7), ("_CHUNK", 40)):
+            monkeypatch.setattr(block, name, value)
+    r = random.Random(3)
+    codes = ["bd", "bd-1", "bd-2", "x"]
+    pool = [[r.gauss(0.5, 1.0) for _ in range(3)] for _ in range(14)]
+    own = {}
+    for k in range(60):
+        v = r.choice(pool)
+        own[f"e{k:02d}"] = ({r.choice(codes), r.choice(codes)}, r.choice("123"), r.choice("pq"), v)
+    rows = [service(i, taxonomies=[{"code": c} for c in sorted(cs)], emails=[f"{m}@h.org"], phones=[p], websites=[], locations=[], embedding_vector=v) for i, (cs, m, p, v) in own.items()]
+    e = clean.clean_entities(schemas.ensure_frame(spark, rows, "entity"), "service")
+    anchors = {i for i in own if int(i[1:]) % 3}
+    changed = e.select("entity_id", "entity_type", F.when(F.col("entity_id").isin(*anchors), "changed").otherwise("unchanged").alias("delta_class"))
+    up = lambda c: {c.rpartition("-")[0]} if "-" in c else {c[:-1]} - {""}
+
+    def cosine(v, w):
+        return sum(x * y for x, y in zip(v, w)) / (sum(x * x for x in v) * sum(y * y for y in w)) ** 0.5
+
+    def reasons(a, b):
+        related = any(x == y or x in up(y) or y in up(x) for x in a[0] for y in b[0])
+        other = {"shared_email": a[1] == b[1], "shared_phone": a[2] == b[2]}
+        return {k for k, x in other.items() if x} if related and cosine(a[3], b[3]) >= 0.75 else set()
+
+    gated = {(a, b): reasons(own[a], own[b]) for a in anchors for b in own if a != b and reasons(own[a], own[b])}
+    want = {}
+    for a in anchors:
+        for _, b in sorted((-round(cosine(own[a][3], own[b][3]), 9), b) for x, b in gated if x == a)[:4]:
+            want["__".join(sorted((a, b)))] = {"embedding_threshold", "shared_taxonomy", *gated[a, b]}
+    settings = dataclasses.replace(Config.default("service").blocking, max_candidates=4)
+    for plan in ("gate", "cosine"):
+        got = {x.pair_key: set(x.candidate_reason_codes) for x in block.candidates(e, changed, settings, plan=plan).collect()}
+        assert len(want) > 60 and got.keys() == want.keys() and got == want
+    wide = dataclasses.replace(settings, max_candidates=100)
+    some = changed.where("delta_class = 'changed'")
+    assert {(x.anchor, x.other) for x in block.gate_first(e, some, wide).collect()} == gated.keys()
+    near = {(a, b) for a in anchors for b in own if a != b and cosine(own[a][3], own[b][3]) >= 0.75}
+    assert {(x.anchor, x.other) for x in block.cosine_first(e, some, 0.75).collect()} == near
+    first = {(x.anchor, x.other) for x in block.top_k(block.cosine_first(e, some, 0.75, best=1).withColumn("similarity", F.round("similarity", 6)), 1).collect()}
+    assert first == {(a, min((-round(cosine(own[a][3], own[b][3]), 6), b) for x, b in near if x == a)[1]) for a in {a for a, _ in near}}
